@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspark.llm import near_duplicates, splitting
+from quillspark.llm import near_duplicates, scan_repair, splitting
 
-MODULES = (near_duplicates, splitting)
+MODULES = (scan_repair, near_duplicates, splitting)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in getattr(module, "SQL", {}).items()}
