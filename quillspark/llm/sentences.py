@@ -53,8 +53,11 @@ _CLOSERS = frozenset(_PAIRS.values()) - {"“", '"'}
 _QUOTES = frozenset('“„「『«"')
 _MARK = re.compile(r'[。！？!?।॥.…]+|["“”„「」『』«»()（）\[\]【】《》]')
 _HEADING = re.compile(r"\s*#{1,6}\s")
-_BULLET = re.compile(r"\s*(?:[-*•‣▪◦–]\s+|[0-9]{1,3}\)\s*|[(（][0-9]{1,3}[)）]\s*)\S")
-_NUMBERED = re.compile(r"\s*[0-9]{1,3}[.、]\s+\S")
+_BULLET = re.compile(r"\s*[-*•‣▪◦–]\s+\S")
+#: A number opens a list line only where no sentence is going on: a wrapped line may begin with one, too.
+_NUMBERED = re.compile(r"\s*(?:[0-9]{1,3}[.、]\s+|[0-9]{1,3}\)\s*|[(（][0-9]{1,3}[)）]\s*)\S")
+#: Names such as pH or p40 begin a sentence in lower case.
+_NAME = re.compile(r"[a-zα-ω]{1,2}[A-Z0-9]")
 _ENDS = re.compile(r"[。！？!?।॥]|\.(?:\s|$)|\.(?=[一-鿿])")
 _THAI = re.compile(r"[ก-ะา-ๅ็-๎]")
 _THAI_GAP = re.compile(r"(?<=[ก-ๅ็-๎])\s+(?=[ก-ๅ็-๎])")
@@ -101,7 +104,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
         whole = False
         if s:
             whole = bool(_HEADING.match(line) or _BULLET.match(line))
-            if not whole and _NUMBERED.match(line) and (start is None or (last and last[-1] in _TERMINATORS)):
+            if not whole and _NUMBERED.match(line) and (start is None or (last.rstrip("”’」』\"）)»“")[-1:] or "x") in _TERMINATORS):
                 whole = True
             if not whole and len(s) >= LONG_RUN and not _ENDS.search(s) and not _THAI.search(s):
                 whole = True
@@ -142,7 +145,7 @@ def _full_stop_ends(text: str, i: int, j: int, end: int, begin: int, lexicon: Le
         if _SPACELESS.match(after):
             return word.lower() not in ABBREVIATIONS and len(word) > 1
         return word.isalpha() and word.islower() and len(word) > 2 and after.isupper() and j + 1 < end and (text[j + 1].islower() or text[j + 1].isspace()) and word not in ABBREVIATIONS
-    if nxt.islower() or nxt in ",;:，；：":
+    if (nxt.islower() and not _NAME.match(text, k)) or nxt in ",;:，；：":
         return False
     low = word.lower()
     if low in ABBREVIATIONS or (low in BEFORE_NUMBER and nxt.isdigit()) or (low in lexicon.abbreviations and not nxt.isupper()):
@@ -183,7 +186,7 @@ def _walk(text: str, begin: int, end: int, lexicon: Lexicon) -> Iterator[int]:
                 k = j
                 while k < end and text[k].isspace():
                     k += 1
-                ends = k >= end or not (text[k].islower() or text[k] in ",;，；、")
+                ends = k >= end or not ((text[k].islower() and not _NAME.match(text, k)) or text[k] in ",;，；、")
             else:
                 ends = True
             if ends:
@@ -210,7 +213,7 @@ def _walk(text: str, begin: int, end: int, lexicon: Lexicon) -> Iterator[int]:
             elif not nxt or announced:
                 ends = True
             elif not _SPACELESS.match(nxt):
-                ends = not nxt.islower() and (at != unit or not nxt.isdigit())
+                ends = not nxt.islower() or bool(_NAME.match(text, k))
             elif at == unit:
                 clause = re.split("[。！？!?]", text[k : k + 60], maxsplit=1)[0]
                 ends = not REPORTED.search(clause)
