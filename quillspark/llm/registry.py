@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspark.llm import near_duplicates, scan_repair, sentences, splitting
+from quillspark.llm import answer_defects, near_duplicates, scan_repair, sentences, splitting
 
-MODULES = (scan_repair, near_duplicates, splitting, sentences)
+MODULES = (scan_repair, near_duplicates, splitting, sentences, answer_defects)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in getattr(module, "SQL", {}).items()}
