@@ -37,7 +37,7 @@ SPARSE = (60, 160)
 
 LINK = r"<a\s[^<>]*>[^<]*</a>|\[[^\[\]\n]*\]\(https?://[^()\s]*\)|https?://[^\s<>\"'|]+"
 # Function words and predicates that clauses of these languages do not lack.
-_HAN_WORDS = "[的是为有和与及或但而则其这该呈着了被把将可能会应宜须于中时后若如未不无较约见指且因占仍便已曾之者伴示含由从至等]|在(?!线)|多见|多表现"
+_HAN_WORDS = "[的是为有和与及或但而则其这该呈着了被把将可能会应宜须于中时后若如未不无较见指且因占仍便已曾之者伴示含由从至等]|在(?!线)|(?<!预)约|多见|多表现"
 _LATIN_WORDS = "the of and is are was were in with to for that by on as at be this from which or not when has have der die das und ist sind im mit zu für den dem eine ein bei nach nicht auf als von oder am sich neben zwischen wie so nur auch le la les et est dans avec pour du des une un au par sur que qui ou pas en"
 _KANA = "[はがをにでのともた]"
 _OTHER_WORDS = "(?:^|\\s)(?:में|है|हैं|और|के|की|का|से|को|या|एक|पर|यह|तथा|न|नहीं|मिली|गया|गईं)(?:\\s|$)|ที่|และ|ใน|มี|จาก|กับ|ของ|เพื่อ|ว่า|เมื่อ|พบ|ให้|ควร"
