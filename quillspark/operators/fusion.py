@@ -15,7 +15,7 @@ def side(hits: DataFrame, source: str) -> DataFrame:
     rows = hits.where(F.col("source") == source).select("query_id", F.col("doc_id").alias("id"), F.coalesce("score", F.lit(0.0)).alias("score"))
     best = rows.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return best.withColumn("hit_rank", F.row_number().over(order))
+    return best.withColumn("hit_rank", F.row_number().over(order).cast("long"))
 
 
 def joined(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def normalised_merge(first: DataFrame, second: DataFrame, weight: float | Column
 def ranked(fused: DataFrame, k: int, digits: int = 6) -> DataFrame:
     fused = fused.withColumn("score", F.round("score", digits))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return fused.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= k)
+    return fused.withColumn("hit_rank", F.row_number().over(order).cast("long")).where(F.col("hit_rank") <= k)
 
 
 def first_of_each(hits: DataFrame, key: Column, *order: str) -> DataFrame:

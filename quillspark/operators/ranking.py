@@ -17,6 +17,10 @@ def _share_of_words(query: Column, title: Column) -> Column:
     return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: F.contains(F.lower(title), x))) / F.size(w)).otherwise(0.0)
 
 
+def _inside(entries: Column, text: Column) -> Column:
+    return F.filter(entries, lambda x: F.contains(text, x))
+
+
 def title_priority(query: Column, chapter: Column, section: Column, weights: tuple[float, float] = (10.0, 8.0), cap: float = 25.0) -> Column:
     """Whole query in a title gives its weight, else the share of its words; 2 for each known word in either title."""
     q = F.lower(query)
@@ -35,7 +39,7 @@ def title_priority_exact(query: Column, chapter: Column, section: Column, weight
     total = F.when(q == c, weights[0] * 2).when(q == s, weights[1] * 2).otherwise(0.0)
     for title, weight in ((c, weights[0]), (s, weights[1])):
         total = total + F.when(F.contains(title, q), weight).otherwise(0.0)
-        total = total + F.size(F.filter(words(q), lambda x, t=title: F.contains(t, x))) * (weight * 0.3)
+        total = total + F.size(_inside(words(q), title)) * (weight * 0.3)
     for term in L.TITLE_TERMS:
         total = total + F.when(F.contains(c, F.lit(term)) | F.contains(s, F.lit(term)), bonus * 0.2).otherwise(0.0)
     return F.least(total, F.lit(cap))

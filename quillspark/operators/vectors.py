@@ -62,9 +62,9 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2
             part = _block_topk(vectors, block["vec_id"].to_numpy(np.int64), _matrix(block["embedding"]), k, metric)
             parts = part if parts is None else parts.unionByName(part)
     if parts is None:
-        return vectors.sparkSession.createDataFrame([], "query_vec long, vec_id long, distance double, hit_rank int")
+        return vectors.sparkSession.createDataFrame([], "query_vec long, vec_id long, distance double, hit_rank long")
     best = Window.partitionBy("query_vec").orderBy("distance", "vec_id")
-    return parts.withColumn("distance", F.round("distance", digits)).withColumn("hit_rank", F.row_number().over(best)).where(F.col("hit_rank") <= k)
+    return parts.withColumn("distance", F.round("distance", digits) + 0.0).withColumn("hit_rank", F.row_number().over(best).cast("long")).where(F.col("hit_rank") <= k)
 
 
 def fit_centroids(vectors: DataFrame, lists: int, sample_rows: int = 50_000, seed: int = 7) -> np.ndarray:
@@ -104,4 +104,4 @@ def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 16, pr
     distance = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
     met = index.join(asked, "list_id").select("query_vec", "vec_id", F.round(distance, 6).alias("distance"))
     best = Window.partitionBy("query_vec").orderBy("distance", "vec_id")
-    return met.withColumn("hit_rank", F.row_number().over(best)).where(F.col("hit_rank") <= k)
+    return met.withColumn("hit_rank", F.row_number().over(best).cast("long")).where(F.col("hit_rank") <= k)

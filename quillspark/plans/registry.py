@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillspark.plans import asking, corpus, evaluating, ranking, retrieval
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+MODULES = (retrieval, ranking, evaluating, corpus, asking)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
