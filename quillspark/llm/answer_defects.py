@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.session import cut_lineage
 from quillspark.sources.tables import table
 
 # What stands for an answer that was never given.
@@ -238,9 +239,10 @@ def length_spikes(open_answers: DataFrame, least: int = 20, factor: int = 8) ->
 def defects(pairs: DataFrame) -> DataFrame:
     """``(record_kind, record_id, defect_type)`` of the defective pairs of ``(record_kind, record_id, question, answer)``."""
     rows = pairs.select("record_kind", F.col("record_id").cast("string").alias("record_id"), "question", "answer").distinct()
-    judged = judged_pairs(rows)
+    judged = cut_lineage(judged_pairs(rows))
     texts = judged.where("defect IS NULL").select(F.col("answer").alias("text")).distinct().select(F.xxhash64("text").alias("answer_id"), "text")
-    ending = texts.mapInArrow(_broken_off, "answer_id long, text string, ending string")
+    ending = cut_lineage(texts.mapInArrow(_broken_off, "answer_id long, text string, ending string"))
+    texts = ending.select("answer_id", "text")
     stats = texts.mapInArrow(_clauses("stats"), "key string, at_end long").groupBy("key").agg(F.sum("at_end").alias("ends"), F.count("*").alias("n"))
     # a short answer of one clause needs no sentence
     short = (F.length("text") <= 48) & ~F.col("text").rlike(r"[，；、：,;:\n]") & (F.length(F.regexp_replace("text", r"[A-Za-z0-9/-]+", "a")) <= 12)
