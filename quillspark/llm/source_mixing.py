@@ -176,10 +176,11 @@ def fit_rates(members: DataFrame, targets: DataFrame) -> tuple[dict[str, dict],
 
     steps: dict[str, list[dict[str, float]]] = {name: [] for name in wanted}
     for _ in range(ROUNDS):
-        sums = [F.sum(F.col("tokens") * rate(mix, steps[name]) * _probability(s)).alias(f"{i}.{j}") for i, (name, mix) in enumerate(wanted.items()) for j, s in enumerate(mix["tokens"])]
+        rates = folded.select("members", *[(F.col("tokens") * rate(mix, steps[name])).alias(f"r{i}") for i, (name, mix) in enumerate(wanted.items())])
+        sums = [F.sum(F.col(f"r{i}") * _probability(s)).alias(f"{i}.{j}") for i, mix in enumerate(wanted.values()) for j, s in enumerate(mix["tokens"])]
         if not sums:
             break
-        got = folded.agg(*sums).collect()[0]
+        got = rates.agg(*sums).collect()[0]
         for i, (name, mix) in enumerate(wanted.items()):
             steps[name].append({s: (goal - (got[f"{i}.{j}"] or 0.0)) / weight[s] for j, (s, goal) in enumerate(mix["tokens"].items())})
     return wanted, steps
