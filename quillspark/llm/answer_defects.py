@@ -121,6 +121,7 @@ _SPLIT = re.compile(r"(?<=[。！？!?।])[”’」』»\"）)]*|(?<=\.)[”\"
 _CLAUSE = re.compile(r"[，；、：;:]|,(?=\s|$)")
 _END = re.compile(r"[。！？!?।.][”’」』»“\"）)\]]*$")
 _DANGLING = re.compile(r"[，、；：,;:（(“「『«\[【-]$|[①-⑳]$|(…|\.\.\.)[”\"）)]*$|(?<![0-9.])0\.$")
+_WORDLIKE = re.compile(r"\w")
 _OPENERS = {"（": "）", "(": ")", "“": "”", "「": "」", "『": "』", "«": "»", "„": "“", "【": "】"}
 
 
@@ -201,7 +202,7 @@ def _broken_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shortened_versions(texts: DataFrame) -> DataFrame:
-    """``answer_id`` of every ``text`` that another text continues: a proper prefix of its successor in sorted order."""
+    """``answer_id`` of every ``text`` that its successor in sorted order continues by more than an end mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -215,7 +216,7 @@ def shortened_versions(texts: DataFrame) -> DataFrame:
                 if not first_seen:
                     out.append((part, i, t, "first"))
                     first_seen = True
-                if last and t != last[1] and t.startswith(last[1]):
+                if last and t.startswith(last[1]) and _WORDLIKE.search(t, len(last[1])):
                     out.append((part, last[0], "", "found"))
                 last = (i, t)
         if last:
@@ -225,7 +226,7 @@ def shortened_versions(texts: DataFrame) -> DataFrame:
 
     seen = texts.select("answer_id", "text").orderBy("text", "answer_id").mapInArrow(run, "part int, answer_id long, text string, what string")
     first = seen.where("what = 'first'").select((F.col("part") - 1).alias("part"), F.col("text").alias("next_text"))
-    across = seen.where("what = 'last'").join(first, "part").where("startswith(next_text, text) AND next_text != text").select("answer_id")
+    across = seen.where("what = 'last'").join(first, "part").where(F.expr("startswith(next_text, text) AND substring(next_text, length(text) + 1) rlike '[\\\\p{L}\\\\p{N}]'")).select("answer_id")
     return seen.where("what = 'found'").select("answer_id").union(across).distinct()
 
 

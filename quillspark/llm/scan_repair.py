@@ -241,6 +241,15 @@ def noise(records: DataFrame, book_titles: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, kinds).distinct()
 
 
+def _fixed(text: Column, fix: Column) -> Column:
+    """The text with one correction; of a Han character's neighbours one may stand on another line."""
+    wrong, right = fix["wrong"], fix["right"]
+    left = F.replace(text, F.substring(wrong, 1, 2), F.substring(right, 1, 2))
+    rest = F.replace(text, F.substring(wrong, 2, 2), F.substring(right, 2, 2))
+    edge = (F.length(wrong) == 3) & wrong.rlike("\\p{IsHan}") & ~F.contains(text, wrong)
+    return F.when(edge & F.contains(text, F.substring(wrong, 1, 2)), left).when(edge, rest).otherwise(F.replace(text, wrong, right))
+
+
 def repaired_paragraphs(records: DataFrame, book_titles: list[str]) -> DataFrame:
     """``(doc_id, paragraph_no, text)``: readable paragraphs without headers, page numbers, cuts and misread words.
 
@@ -251,7 +260,7 @@ def repaired_paragraphs(records: DataFrame, book_titles: list[str]) -> DataFrame
     fixes = wrong.distinct().groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("wrong", "right"))).alias("fixes"))
     ends = cuts.where("is_cut").select("doc_id", "line_no", F.lit(True).alias("is_cut"))
     kept = lines.where("NOT is_header AND NOT is_page AND s != '' OR s = ''").join(fixes, ["doc_id", "line_no"], "left").join(ends, ["doc_id", "line_no"], "left")
-    plain = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<wrong:string,right:string>>")), F.col("s"), lambda acc, f: F.replace(acc, f["wrong"], f["right"]))
+    plain = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<wrong:string,right:string>>")), F.col("s"), _fixed)
     kept = kept.withColumn("fixed", F.when(F.col("is_cut"), F.regexp_replace(plain, rf"[{CUT_MARKS}]\s*$", "")).otherwise(plain))
     order = Window.partitionBy("doc_id").orderBy("line_no")
     kept = kept.withColumn("was_blank", F.lag(F.col("s") == "").over(order)).withColumn("was_heading", F.lag("is_heading").over(order))

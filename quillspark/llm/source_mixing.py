@@ -211,6 +211,8 @@ def _lookup(name: Column, values: dict[str, float], default: float) -> Column:
 
 def copies(members: DataFrame, wanted: dict[str, dict], steps: dict[str, list[dict[str, float]]]) -> DataFrame:
     """``(mix_name, doc_id, source, tokens, copies)`` of the documents used in each mixture."""
+    if not wanted:
+        return members.select(F.lit("").alias("mix_name"), "doc_id", "source", "tokens", F.lit(0).alias("copies")).limit(0)
     rates = F.array(*[F.struct(F.lit(name).alias("mix_name"), rate(mix, steps[name]).alias("rate")) for name, mix in wanted.items()])
     rows = members.where("tokens > 0").select("doc_id", F.coalesce("source", F.element_at(F.transform(F.array_sort("members", lambda a, b: F.when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1).otherwise(0)), lambda m: m["name"]), 1)).alias("source"), "tokens", F.explode(rates).alias("r"))
     rows = rows.select("doc_id", "source", "tokens", "r.mix_name", "r.rate").where("rate > 0")
