@@ -95,7 +95,7 @@ def assign_lists(vectors: DataFrame, centroids: np.ndarray, probes: int = 1) ->
     return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(run, "vec_id long, list_id long, embedding array<double>")
 
 
-def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 6) -> DataFrame:
+def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 11) -> DataFrame:
     """Inverted-file search: queries meet the vectors of their nearest lists only."""
     vectors = vectors.where("embedding IS NOT NULL")
     centroids = fit_centroids(vectors, lists)

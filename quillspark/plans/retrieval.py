@@ -101,6 +101,14 @@ def vector_ivf_topk(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.ivf_topk(*_asked_vectors(spark, folder), TOP)
 
 
+def vector_ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of the exact top hits of the stated queries that the inverted file finds."""
+    v, q = _asked_vectors(spark, folder)
+    exact = vectors.exact_topk(v, q, TOP).select("query_vec", "vec_id")
+    found = vectors.ivf_topk(v, q, TOP).select("query_vec", "vec_id", F.lit(1).alias("found"))
+    return exact.join(found, ["query_vec", "vec_id"], "left").groupBy("query_vec").agg(F.count("*").alias("exact"), F.count("found").alias("found"))
+
+
 def _sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     hits = table(spark, folder, "search_results").where("query_id IS NOT NULL AND doc_id IS NOT NULL")
     return fusion.side(hits, "elasticsearch"), fusion.side(hits, "milvus")
@@ -161,7 +169,7 @@ _L2 = "list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[
 _COS = "1 - list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE))))"
 _TOPV = "SELECT query_vec, vec_id, distance, hit_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_vec ORDER BY distance, vec_id) AS hit_rank FROM d) WHERE hit_rank <= 10"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, multi_field_best, function_score, all_terms_match, phrase_match, fuzzy_match, vector_l2_topk, vector_cosine_topk, hydrate_hits, vector_ivf_topk, hybrid_merge, rrf_fusion, weighted_fusion, adaptive_fusion, dedup_id_or_prefix, dedup_prefix, post_filter)}
+QUERIES = {f.__name__: f for f in (bm25_topk, multi_field_best, function_score, all_terms_match, phrase_match, fuzzy_match, vector_l2_topk, vector_cosine_topk, hydrate_hits, vector_ivf_topk, vector_ivf_recall, hybrid_merge, rrf_fusion, weighted_fusion, adaptive_fusion, dedup_id_or_prefix, dedup_prefix, post_filter)}
 _DOCS = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
 _FUSED = "SELECT query_id, id AS doc_id, {cols}score, hit_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS hit_rank FROM f) WHERE hit_rank <= 10"
 _NORM = """na AS (SELECT query_id, id, CASE WHEN max(s1) OVER (PARTITION BY query_id) > 0 THEN s1 / max(s1) OVER (PARTITION BY query_id) ELSE 0.0 END AS n1 FROM a),
