@@ -18,7 +18,7 @@ def model_totals(responses: DataFrame) -> DataFrame:
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and means per event type and window; events later than the watermark are dropped."""
-    per = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type")
+    per = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type")
     return per.agg(F.count("*").alias("events"), F.round(F.avg("value"), 4).alias("mean_value")).select(F.col("w.start").alias("hour"), "event_type", "events", "mean_value")
 
 
