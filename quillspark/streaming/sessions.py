@@ -25,19 +25,15 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 ho
 def session_totals(queries: DataFrame) -> DataFrame:
     """Running number of distinct queries and last time of every session, with the ids seen so far as state.
 
-    A session that stays idle for a day is dropped from the state.
+    A session's state holds its distinct ids only; sessions are kept as long as the query runs.
     """
 
     def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         seen, last = (set(state.get[0]), state.get[1]) if state.exists else (set(), 0)
         for batch in batches:
             seen |= set(batch["query_id"].dropna())
             last = max(last, *(int(t.value // 1000) for t in batch["asked_at"].dropna()), 0)
         state.update((sorted(seen), last))
-        state.setTimeoutDuration(24 * 3600 * 1000)
         yield pd.DataFrame({"session_id": [key[0]], "queries": [len(seen)], "last_us": [last]})
 
-    return queries.groupBy("session_id").applyInPandasWithState(update, "session_id string, queries long, last_us long", "seen array<string>, last long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return queries.groupBy("session_id").applyInPandasWithState(update, "session_id string, queries long, last_us long", "seen array<string>, last long", "update", GroupStateTimeout.NoTimeout)

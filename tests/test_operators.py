@@ -154,14 +154,12 @@ def test_streams_equal_their_batch_forms(spark, tmp_path):
         source.repartition(3).write.parquet(part)
         stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(part)
         if form:
-            query = form(stream).writeStream.outputMode("complete").format("memory").queryName(f"out_{name}").start()
-            query.processAllAvailable()
-            query.stop()
+            query = form(stream).writeStream.outputMode("complete").format("memory").queryName(f"out_{name}").trigger(availableNow=True).start()
+            assert query.awaitTermination(60)
             assert sorted(map(tuple, spark.table(f"out_{name}").collect()), key=str) == sorted(map(tuple, form(source).collect()), key=str)
         else:
-            query = sessions.windowed_counts(stream, late="3650 days").writeStream.outputMode("complete").format("memory").queryName("out_events").start()
-            query.processAllAvailable()
-            query.stop()
+            query = sessions.windowed_counts(stream, late="3650 days").writeStream.outputMode("complete").format("memory").queryName("out_events").trigger(availableNow=True).start()
+            assert query.awaitTermination(60)
             assert spark.table("out_events").agg(F.sum("events")).collect()[0][0] == source.where("ts IS NOT NULL").count()
 
 
@@ -171,8 +169,7 @@ def test_session_state(spark, tmp_path):
     part = str(tmp_path / "log")
     source.repartition(2).write.parquet(part)
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(part)
-    query = sessions.session_totals(stream).writeStream.outputMode("update").format("memory").queryName("out_sessions").start()
-    query.processAllAvailable()
-    query.stop()
+    query = sessions.session_totals(stream).writeStream.outputMode("update").format("memory").queryName("out_sessions").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
     got = {r["session_id"]: r["n"] for r in spark.table("out_sessions").groupBy("session_id").agg(F.max("queries").alias("n")).collect()}
     assert got == {r["session_id"]: r["n"] for r in source.groupBy("session_id").agg(F.countDistinct("query_id").alias("n")).collect()}
