@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspark.plans import asking, corpus, evaluating, ranking, retrieval
+from quillspark.plans import asking, content, corpus, evaluating, ranking, retrieval
 
-MODULES = (retrieval, ranking, evaluating, corpus, asking)
+MODULES = (retrieval, ranking, evaluating, corpus, asking, content)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
