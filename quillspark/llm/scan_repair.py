@@ -180,7 +180,7 @@ def misread_words(lines: DataFrame, cuts: DataFrame, counts: DataFrame) -> DataF
     odd_case = F.col("wrong").rlike("[a-z]I([a-z]|$)")
     judged = forms.join(known.withColumnRenamed("n", "n_own"), "key", "left").join(best, "skel")
     own = F.when(odd_case, 0).otherwise(F.coalesce("n_own", F.lit(0)))
-    judged = judged.where((F.col("best.n") >= 3) & (own * 50 <= F.col("best.n")) & ((F.col("best.key") != F.col("key")) | odd_case)).select("wrong", F.col("best.key").alias("right"))
+    judged = cut_lineage(judged.where((F.col("best.n") >= 3) & (own * 50 <= F.col("best.n")) & ((F.col("best.key") != F.col("key")) | odd_case)).select("wrong", F.col("best.key").alias("right")))
     whole = words.join(judged, "wrong").select("doc_id", "line_no", "wrong", "right")
     parts = cuts.where("is_cut").select("doc_id", "line_no", "next_no", F.lower("left").alias("l"), F.lower("right").alias("r"), F.lower("joined").alias("wrong")).join(judged, "wrong")
     left = parts.where("NOT startswith(right, l)").select("doc_id", "line_no", "wrong", "right")
@@ -224,7 +224,7 @@ def analyse(records: DataFrame, book_titles: list[str], scanned: Column | None =
     rows = records.where(F.col("content").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "content", "page_number", "chapter_title", "section_title", F.coalesce(scanned, F.lit(False)).alias("scanned")).distinct()
     counts = cut_lineage(reference_counts(rows.where("NOT scanned").select("content")))
     lines = cut_lineage(classify_lines(rows.where("scanned").drop("scanned"), book_titles))
-    cuts = cut_words(lines, counts)
+    cuts = cut_lineage(cut_words(lines, counts))
     return lines, cuts, misread_words(lines, cuts, counts).union(misread_han(lines, counts))
 
 
