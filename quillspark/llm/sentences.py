@@ -56,8 +56,8 @@ _HEADING = re.compile(r"\s*#{1,6}\s")
 _BULLET = re.compile(r"\s*[-*•‣▪◦–]\s+\S")
 #: A number opens a list line only where no sentence is going on: a wrapped line may begin with one, too.
 _NUMBERED = re.compile(r"\s*(?:[0-9]{1,3}[.、]\s+|[0-9]{1,3}\)\s*|[(（][0-9]{1,3}[)）]\s*)\S")
-#: Names such as pH or p40 begin a sentence in lower case.
-_NAME = re.compile(r"[a-zα-ω]{1,2}[A-Z0-9]")
+#: Names such as pH or p40 begin a sentence in lower case, and so does a foreign word in Chinese text.
+_NAME = re.compile(r"[a-zα-ω]{1,2}[A-Z0-9]|[a-z]+(?=[一-鿿])")
 _ENDS = re.compile(r"[。！？!?।॥]|\.(?:\s|$)|\.(?=[一-鿿])")
 _THAI = re.compile(r"[ก-ะา-ๅ็-๎]")
 _THAI_GAP = re.compile(r"(?<=[ก-ๅ็-๎])\s+(?=[ก-ๅ็-๎])")
@@ -134,17 +134,20 @@ def _full_stop_ends(text: str, i: int, j: int, end: int, begin: int, lexicon: Le
         return True
     if j - i > 1:
         return nxt.isupper() or bool(_SPACELESS.match(nxt) and lexicon.is_gap(text[max(begin, i - 2) : i], text[k : k + 8]))
-    if _SPACELESS.match(before) or before in "”」』）)%％":
-        return not (nxt.islower() or nxt in "，,、；;：:")
+    if _SPACELESS.match(before):
+        return nxt not in "，,、；;：:"
+    if before in "”」』）)%％":
+        return not ((nxt.islower() and not _NAME.match(text, k)) or nxt in "，,、；;：:")
     token = _TOKEN.search(text, max(begin, i - 24), i)
     word = token.group() if token else ""
     if before.isdigit() and after.isdigit():
         return False
     if not (after.isspace() or after in _CLOSERS or after in _QUOTES):
-        # no space after the stop: only between a plain word and a capitalised one or a Han character
+        # no space after the stop: only between a plain word or name and a capitalised word, or before a Han character
         if _SPACELESS.match(after):
             return word.lower() not in ABBREVIATIONS and len(word) > 1
-        return word.isalpha() and word.islower() and len(word) > 2 and after.isupper() and j + 1 < end and (text[j + 1].islower() or text[j + 1].isspace()) and word not in ABBREVIATIONS
+        capital = after.isupper() and j + 1 < end and (text[j + 1].islower() or text[j + 1].isspace())
+        return capital and word.isalnum() and len(word) > 1 and word.lower() not in ABBREVIATIONS
     if (nxt.islower() and not _NAME.match(text, k)) or nxt in ",;:，；：":
         return False
     low = word.lower()

@@ -33,6 +33,9 @@ def cut(text):
         ("Cells (see slide\n87) were pale. Next one.", ["Cells (see slide\n87) were pale.", "Next one."]),
         ("ACGT" * 60 + "\n核仁清晰。", ["ACGT" * 60, "核仁清晰。"]),
         ("未闭合“引号。下一句。", ["未闭合“引号。", "下一句。"]),
+        ("Check ALK.In lavage it rose.Next CK7.Agreement was low.", ["Check ALK.", "In lavage it rose.", "Next CK7.", "Agreement was low."]),
+        ("质地疏松.p40阳性率为3%。", ["质地疏松.", "p40阳性率为3%。"]),
+        ("核轮廓光整.lymphoma一词指细胞。约占4%.carcinoid一词指细胞。", ["核轮廓光整.", "lymphoma一词指细胞。", "约占4%.", "carcinoid一词指细胞。"]),
         ("", []),
         (" \n\t ", []),
     ],
