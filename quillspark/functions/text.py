@@ -9,9 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_TOKEN = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words; every Han character is a word of its own."""
-    return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"(\p{IsHan})", " $1 "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
+
+
+def token_count(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit(_TOKEN))
 
 
 def tokens_sql(text: str) -> str:

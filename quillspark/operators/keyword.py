@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import tokens
+from quillspark.functions.text import token_count, tokens
 
 K1, B = 1.2, 0.75
 
@@ -22,8 +22,10 @@ def query_terms(queries: DataFrame, id_column: str = "query_id", text_column: st
 
 def bm25_scores(terms: DataFrame, documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(query_id, id, score, matched)``: sum of BM25 over the terms of each query, and how many of its terms occur."""
-    docs = documents.select(F.col(id_column).alias("id"), tokens(F.coalesce(text_column, F.lit(""))).alias("tokens")).withColumn("length", F.size("tokens"))
-    n, mean = docs.agg(F.count("*")).scalar(), docs.agg(F.avg("length")).scalar()
+    text = F.coalesce(text_column, F.lit(""))
+    docs = documents.select(F.col(id_column).alias("id"), tokens(text).alias("tokens")).withColumn("length", F.size("tokens"))
+    corpus = documents.agg(F.struct(F.count("*").alias("n"), F.avg(token_count(text)).alias("mean"))).scalar()
+    n, mean = corpus["n"], corpus["mean"]
     wanted = terms.select("term").distinct()
     postings = docs.select("id", "length", F.explode("tokens").alias("term")).join(wanted, "term").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -82,4 +84,4 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     grams = vocabulary.select("word").distinct().join(F.broadcast(sizes.limit(64)), F.col("size") <= F.length("word")).select("word", "size", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("size") + 1)).alias("at"))
     grams = grams.select("word", "size", "at", F.expr("substring(word, at, size)").alias("piece"))
     met = keys.join(grams, ["piece", "at", "size"]).where(F.abs(F.length("term") - F.length("word")) <= F.col("edits")).select("term", "word", "edits").distinct()
-    return met.withColumn("distance", F.levenshtein("term", "word")).where("distance <= edits").select("term", "word", "distance")
+    return met.withColumn("distance", F.levenshtein("term", "word").cast("long")).where("distance <= edits").select("term", "word", "distance")
