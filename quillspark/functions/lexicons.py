@@ -35,3 +35,8 @@ PRECISE_TERMS = ["ROSE", "N/C", "核质比", "m/N", "核仁长径", "腺泡状",
 SUGGESTIONS = ["肺部恶性肿瘤", "ROSE细胞学", "腺癌特征", "细胞核增大", "快速现场评价", "细胞学诊断", "病理分析", "癌症分期"]
 CHAPTER_PHRASES = ["ROSE", "细胞学特点", "细胞组学分型", "恶性肿瘤", "肺部实体", "罕见病", "快速现场评价"]
 ALIKE = {"similar": ["相同", "相似", "一样"], "different": ["不同", "区别", "差异"], "advantage": ["优势", "优点", "好处"], "drawback": ["劣势", "缺点", "不足"]}
+CELL_FEATURES = ["深染", "浓染", "淡染", "透明", "嗜酸", "嗜碱", "多形性", "异型性", "核大", "核小", "核仁", "核膜", "核质比", "镶嵌", "乳头状", "腺泡状", "桑葚状", "梭形", "圆形", "卵圆形", "立方状", "多边形", "巨细胞", "坏死", "凋亡", "有丝分裂", "核分裂", "细胞质", "细胞膜"]
+CANCER_TYPES = ["腺癌", "鳞癌", "小细胞癌", "大细胞癌", "肺腺癌", "肺鳞癌", "乳腺癌", "胃癌", "肝癌", "食道癌"]
+MEDICAL_WORDS = ["ROSE", "细胞核", "细胞质", "分化", "恶性", "良性", "肿瘤", "癌症", "病理", "诊断"]
+ANATOMY = ["肺部", "肺脏", "支气管", "肺泡", "胸膜", "纵隔", "淋巴结", "上皮", "腺体"]
+KEY_CONCEPTS = ["细胞", "组织", "器官", "病理", "生理", "诊断", "治疗", "预后"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicons as L
-from quillspark.functions.text import any_of, any_of_sql
+from quillspark.functions.text import any_of, any_of_sql, contained, contained_sql, quoted
 from quillspark.operators import chunking as C
 from quillspark.operators import ranking as R
 from quillspark.plans import ranking as plans
@@ -92,12 +92,65 @@ def intelligent_score(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("hit_rank", F.row_number().over(best).cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (smart_previews, keyword_positions, comparison_lines, quality_forms, context_blocks, intelligent_score)}
+def cell_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Cell features that documents name, and in how many."""
+    docs = table(spark, folder, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.explode(contained(F.col("text"), L.CELL_FEATURES)).alias("feature")).groupBy("feature").agg(F.count("*").alias("documents"))
+
+
+def entity_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities of each content by class, in the classes' order."""
+    c = F.col("content")
+    return chunks(spark, folder).select("doc_id", *[F.array_join(contained(c, lexicon), "|").alias(name) for name, lexicon in (("cancer_types", L.CANCER_TYPES), ("medical_words", L.MEDICAL_WORDS), ("anatomy", L.ANATOMY))])
+
+
+def general_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    concepts = F.slice(contained(F.lower("content"), L.KEY_CONCEPTS), 1, 5)
+    return chunks(spark, folder).select("doc_id", F.length("content").alias("n_chars"), F.array_join(concepts, "|").alias("concepts"), F.array_join(contained(F.col("content"), ["腺癌", "鳞癌", "ROSE"]), "|").alias("terms"))
+
+
+def chapter_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """For each known entity the five documents with a section title that name it most often, contents pages skipped."""
+    docs = chunks(spark, folder).where((F.col("section_title") != "") & ~F.substring("content", 1, 50).rlike("[录日]"))
+    rows = docs.select("doc_id", "chapter_title", "section_title", "content", F.explode(contained(F.col("content"), L.KEY_ENTITIES)).alias("entity"))
+    rows = rows.withColumn("times", ((F.length("content") - F.length(F.replace("content", F.col("entity"), F.lit("")))) / F.length("entity")).cast("long"))
+    best = Window.partitionBy("entity").orderBy(F.col("times").desc(), "doc_id")
+    return rows.withColumn("nth", F.row_number().over(best).cast("long")).where("nth <= 5").select("entity", "doc_id", "chapter_title", "section_title", "times", "nth")
+
+
+def chapter_from_text(spark: SparkSession, folder: str) -> DataFrame:
+    """First chapter and section title within the first 20 lines of a content, page digits cut."""
+    lines = F.filter(F.slice(F.split("content", "\n"), 1, 20), lambda l: F.length(l) <= 100)
+    cut = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "^#+", ""), r"[0-9]+\s*$", ""))
+    rows = chunks(spark, folder).select("doc_id", cut(F.try_element_at(F.filter(lines, lambda l: l.rlike("第[一二三四五六七八九十]+章")), F.lit(1))).alias("chapter"), cut(F.try_element_at(F.filter(lines, lambda l: l.rlike("第[一二三四五六七八九十]+节")), F.lit(1))).alias("section"))
+    return rows.where("chapter IS NOT NULL OR section IS NOT NULL")
+
+
+def chunk_category(spark: SparkSession, folder: str) -> DataFrame:
+    c = F.lower("chapter_title")
+    kind = F.when(any_of(c, ["肺癌", "肺部实体"]), "lung_cancer").when(any_of(c, ["转移性", "其他"]), "metastatic_tumor").when(any_of(c, ["少见病"]), "rare_disease").when(any_of(c, ["技术", "组学"]), "rose_technique").otherwise("general")
+    return chunks(spark, folder).groupBy(kind.alias("category"), "collection").agg(F.count("*").alias("chunks"))
+
+
+def event_props(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of the events' JSON properties; broken JSON counts as null."""
+    events = table(spark, folder, "events")
+    return events.groupBy(F.get_json_object("props", "$.k").alias("k"), "event_type").agg(F.count("*").alias("events"))
+
+
+QUERIES = {f.__name__: f for f in (cell_features, entity_classes, general_analysis, chapter_lookup, chapter_from_text, chunk_category, event_props, smart_previews, keyword_positions, comparison_lines, quality_forms, context_blocks, intelligent_score)}
 
 _LINES = "string_split(content, chr(10))"
 _KINDS = "CASE " + " ".join(f"WHEN {any_of_sql('line', w)} THEN '{n}'" for n, w in L.ALIKE.items()) + " END"
 _N3 = "CASE WHEN n >= 3 THEN {v}::DOUBLE ELSE 0.0::DOUBLE END"
 SQL = {
+    "cell_features": f"WITH d AS (SELECT unnest({contained_sql('text', L.CELL_FEATURES)}) AS feature FROM documents WHERE text IS NOT NULL) SELECT feature, count(*) AS documents FROM d GROUP BY feature",
+    "entity_classes": f"WITH {CHUNKS} SELECT doc_id, array_to_string({contained_sql('content', L.CANCER_TYPES)}, '|') AS cancer_types, array_to_string({contained_sql('content', L.MEDICAL_WORDS)}, '|') AS medical_words, array_to_string({contained_sql('content', L.ANATOMY)}, '|') AS anatomy FROM chunks",
+    "general_analysis": f"WITH {CHUNKS} SELECT doc_id, length(content)::INTEGER AS n_chars, array_to_string({contained_sql('lower(content)', L.KEY_CONCEPTS)}[1:5], '|') AS concepts, array_to_string({contained_sql('content', ['腺癌', '鳞癌', 'ROSE'])}, '|') AS terms FROM chunks",
+    "chapter_lookup": f"WITH {CHUNKS}, e AS (SELECT unnest([{', '.join(quoted(x) for x in L.KEY_ENTITIES)}]) AS entity), r AS (SELECT entity, doc_id, chapter_title, section_title, (length(content) - length(replace(content, entity, ''))) // length(entity) AS times FROM chunks, e WHERE section_title <> '' AND NOT regexp_matches(substring(content, 1, 50), '[录日]') AND contains(content, entity)) SELECT entity, doc_id, chapter_title, section_title, times, nth FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY times DESC, doc_id) AS nth FROM r) WHERE nth <= 5",
+    "chapter_from_text": f"WITH {CHUNKS}, l AS (SELECT doc_id, list_filter({_LINES}[1:20], lambda x: length(x) <= 100) AS ls FROM chunks), f AS (SELECT doc_id, list_filter(ls, lambda x: regexp_matches(x, '第[一二三四五六七八九十]+章'))[1] AS c, list_filter(ls, lambda x: regexp_matches(x, '第[一二三四五六七八九十]+节'))[1] AS s FROM l) SELECT doc_id, trim(regexp_replace(regexp_replace(c, '^#+', ''), '[0-9]+\\s*$', '')) AS chapter, trim(regexp_replace(regexp_replace(s, '^#+', ''), '[0-9]+\\s*$', '')) AS section FROM f WHERE c IS NOT NULL OR s IS NOT NULL",
+    "chunk_category": f"WITH {CHUNKS} SELECT CASE WHEN {any_of_sql('chapter_title', ['肺癌', '肺部实体'])} THEN 'lung_cancer' WHEN {any_of_sql('chapter_title', ['转移性', '其他'])} THEN 'metastatic_tumor' WHEN {any_of_sql('chapter_title', ['少见病'])} THEN 'rare_disease' WHEN {any_of_sql('chapter_title', ['技术', '组学'])} THEN 'rose_technique' ELSE 'general' END AS category, collection, count(*) AS chunks FROM chunks GROUP BY ALL",
+    "event_props": "SELECT CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS k, event_type, count(*) AS events FROM events GROUP BY ALL",
     "smart_previews": f"WITH {_EXPECTED}, l AS (SELECT *, {_LINES} AS ls, coalesce(list_position(list_transform({_LINES}, lambda x: contains(x, word)), true), 0)::INTEGER AS line_no FROM qx) SELECT question_id, doc_id, word, line_no, array_to_string(ls[greatest(line_no - 2, 1):greatest(line_no - 2, 1) + 4], ' | ') AS preview FROM l",
     "keyword_positions": f"WITH {_EXPECTED} SELECT word, CASE WHEN contains(content, '# ' || word) THEN 'heading' WHEN contains(substring(content, 1, 50), word) THEN 'beginning' WHEN contains(content, word) AND contains(content, '图') THEN 'figure' WHEN contains(content, word) THEN 'elsewhere' ELSE 'nowhere' END AS position, count(*) AS documents FROM qx GROUP BY ALL",
     "comparison_lines": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, {_KINDS} AS kind FROM l) SELECT doc_id, kind, count(*) AS lines FROM k WHERE kind IS NOT NULL GROUP BY ALL",
