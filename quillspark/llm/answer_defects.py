@@ -244,7 +244,8 @@ def defects(pairs: DataFrame) -> DataFrame:
     texts = judged.where("defect IS NULL").select(F.col("answer").alias("text")).distinct().select(F.xxhash64("text").alias("answer_id"), "text")
     ending = cut_lineage(texts.mapInArrow(_broken_off, "answer_id long, text string, ending string"))
     texts = ending.select("answer_id", "text")
-    stats = texts.mapInArrow(_clauses("stats"), "key string, at_end long").groupBy("key").agg(F.sum("at_end").alias("ends"), F.count("*").alias("n"))
+    # answers that certainly broke off say nothing about how sentences end
+    stats = ending.where("ending != 'broken'").select("answer_id", "text").mapInArrow(_clauses("stats"), "key string, at_end long").groupBy("key").agg(F.sum("at_end").alias("ends"), F.count("*").alias("n"))
     # a short answer of one clause needs no sentence
     short = (F.length("text") <= 48) & ~F.col("text").rlike(r"[，；、：,;:\n]") & (F.length(F.regexp_replace("text", r"[A-Za-z0-9/-]+", "a")) <= 12)
     still_open = ending.where((F.col("ending") == "open") & ~short).select("answer_id", "text")
