@@ -9,8 +9,8 @@ Two measures are combined:
   one function word or predicate of their language in ``SPARSE`` characters (Han text, others). Contents lists, bibliographies and tables have
   a structure of their own and do not count as missing.
 
-``score = 1 - (1 - missing) * (1 - excess)``, where excess grows from 0 to 1 between a coverage of 0.70 (what
-formulaic prose reaches) and 0.95; pages above 0.5 are spam.
+``score = 1 - (1 - missing) * (1 - excess)``, where excess grows from 0 to 1 between a coverage of 0.78 (what
+formulaic prose reaches) and 0.92; pages above 0.5 are spam.
 
 Scale: a page is judged from its own text in one pass over the table, without a shuffle. The automaton
 of a text longer than ``SPAN`` characters is built for stretches of that length, so its size stays bounded.
@@ -142,7 +142,7 @@ def spam_scores(pages: DataFrame) -> DataFrame:
     cjk = F.regexp_count(text, F.lit("[぀-ヿ㐀-䶿一-鿿]"))
     rows = pages.where(text.isNotNull()).select("doc_id", missing_structure(text).alias("missing"), F.regexp_replace(F.regexp_replace(text, "[0-9]+", "9"), r"(?U)\s+", " ").alias("masked"), F.when(cjk * 10 >= F.length(text) * 3, MIN_CJK).otherwise(MIN_OTHER).alias("least"))
     judged = rows.where("missing IS NOT NULL").mapInArrow(_coverage, "doc_id long, missing double, coverage double")
-    excess = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("coverage") - 0.70) / 0.25))
+    excess = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("coverage") - 0.78) / 0.14))
     return judged.withColumn("score", 1 - (1 - F.col("missing")) * (1 - excess))
 
 
