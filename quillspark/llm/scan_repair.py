@@ -61,6 +61,12 @@ def skeleton(word: Column) -> Column:
     return w
 
 
+def skeletons(word: Column) -> Column:
+    """Both skeletons of a word: ``lin`` may have become ``lm`` or ``hn``, which one order of the glyph pairs cannot serve."""
+    first = F.replace(F.translate(F.regexp_replace(word, "(?<=[a-z])I(?=[a-z]|$)", "l"), "01", "ol"), F.lit("li"), F.lit("h"))
+    return F.array_distinct(F.array(F.concat(F.lit("a:"), skeleton(word)), F.concat(F.lit("b:"), skeleton(first))))
+
+
 def squeezed(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
 
@@ -107,7 +113,7 @@ def classify_lines(records: DataFrame, book_titles: list[str]) -> DataFrame:
         return (m > 0) & ((h == t) | near | cut)
 
     named = F.exists(titles, lambda t: same(F.col("h"), t) | same(F.col("h0"), t))
-    shaped = F.col("h").rlike("^(第[一二三四五六七八九十百零0-9]+[章节].|(chapter|section)[0-9]+i?[a-z])") & F.col("core").rlike("^(第|(?i:chapter|section)\\s*[0-9])") & ~F.col("core").rlike("[，,：:]")
+    shaped = F.col("h").rlike("^(第[一二三四五六七八九十百零0-9]+[章节].|(chapter|section)[0-9]+i?[a-z])") & rest.rlike("^(第|(?i:chapter|section)\\s*[0-9])") & ~F.col("core").rlike("[，,：:]")
     lines = lines.withColumn("is_header", plausible & (named | shaped))
 
     bare = F.col("core").rlike(rf"^{glyph}{{1,4}}$") & F.col("core").rlike(r"[0-9０-９]|^[lIO]{2,4}$")
@@ -164,7 +170,7 @@ def cut_words(lines: DataFrame, counts: DataFrame) -> DataFrame:
 def misread_words(lines: DataFrame, cuts: DataFrame, counts: DataFrame) -> DataFrame:
     """``(doc_id, line_no, wrong, right)`` of misread Latin words of running text."""
     known = counts.where(F.col("key").rlike("^[a-z0-9]") & ~F.col("key").contains("-"))
-    best = known.groupBy(skeleton(F.col("key")).alias("skel")).agg(F.max(F.struct("n", "key")).alias("best"))
+    best = known.select("key", "n", F.explode(skeletons(F.col("key"))).alias("skel")).groupBy("skel").agg(F.max(F.struct("n", "key")).alias("best"))
     starts = cuts.where("is_cut").select("doc_id", F.col("next_no").alias("line_no"), "whole_right").where("line_no IS NOT NULL")
     ends = cuts.where("is_cut").select("doc_id", "line_no", "whole_left")
     text = lines.where("is_text").select("doc_id", "line_no", "s").join(starts, ["doc_id", "line_no"], "left").join(ends, ["doc_id", "line_no"], "left")
@@ -175,12 +181,16 @@ def misread_words(lines: DataFrame, cuts: DataFrame, counts: DataFrame) -> DataF
     body = F.when(F.col("whole_right").isNotNull() & (F.col("whole_right") != ""), F.regexp_replace(body, head, F.lit(""))).otherwise(body)
     words = text.select("doc_id", "line_no", F.explode(F.regexp_extract_all(body, F.lit(_WORD.replace("a-z", "A-Za-z")), F.lit(0))).alias("wrong")).where(F.col("wrong").rlike("[A-Za-z]"))
     cut = cuts.where("is_cut").select(F.lower("joined").alias("wrong")).distinct()
-    forms = words.select("wrong").union(cut).distinct().withColumn("key", F.lower("wrong")).withColumn("skel", skeleton(F.col("wrong")))
+    forms = words.select("wrong").union(cut).distinct().withColumn("key", F.lower("wrong"))
     # a capital I inside a lower-case word is a misread l, whatever the vocabulary says of the lower-cased word
     odd_case = F.col("wrong").rlike("[a-z]I([a-z]|$)")
-    judged = forms.join(known.withColumnRenamed("n", "n_own"), "key", "left").join(best, "skel")
+    owned = forms.join(known.withColumnRenamed("n", "n_own"), "key", "left")
+    judged = owned.withColumn("skel", F.explode(skeletons(F.col("wrong")))).join(best, "skel")
     own = F.when(odd_case, 0).otherwise(F.coalesce("n_own", F.lit(0)))
-    judged = cut_lineage(judged.where((F.col("best.n") >= 3) & (own * 50 <= F.col("best.n")) & ((F.col("best.key") != F.col("key")) | odd_case)).select("wrong", F.col("best.key").alias("right")))
+    judged = cut_lineage(judged.where((F.col("best.n") >= 3) & (own * 50 <= F.col("best.n")) & ((F.col("best.key") != F.col("key")) | odd_case)).groupBy("wrong").agg(F.max(F.struct("best.n", "best.key")).alias("best")).select("wrong", F.col("best.key").alias("right")))
+    # numbers vary too much for a vocabulary: letters that look like digits among digits
+    numbers = owned.where(F.col("wrong").rlike(r"^(?=.*[0-9])(?=.*[OlI])[0-9OlI]{2,}(\.[0-9OlI]+)*$|^[0-9OlI]+\.[0-9OlI]+$") & F.col("wrong").rlike("[OlI]") & F.col("n_own").isNull()).select("wrong", F.translate("wrong", "OlI", "011").alias("right"))
+    judged = judged.union(numbers).groupBy("wrong").agg(F.max("right").alias("right"))
     whole = words.join(judged, "wrong").select("doc_id", "line_no", "wrong", "right")
     parts = cuts.where("is_cut").select("doc_id", "line_no", "next_no", F.lower("left").alias("l"), F.lower("right").alias("r"), F.lower("joined").alias("wrong")).join(judged, "wrong")
     left = parts.where("NOT startswith(right, l)").select("doc_id", "line_no", "wrong", "right")
