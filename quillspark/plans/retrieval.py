@@ -77,6 +77,18 @@ def fuzzy_match(spark: SparkSession, folder: str) -> DataFrame:
     return keyword.fuzzy_terms(terms, words)
 
 
+def variant_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits of all search variants of a question, the first variant that finds a document counts."""
+    from quillspark.operators.questions import variants
+
+    texts = asked(spark, folder).select("query_id", F.posexplode(variants(F.col("question"))).alias("variant", "question"))
+    keyed = texts.select(F.concat_ws("#", "query_id", F.col("variant").cast("string")).alias("query_id"), "question")
+    docs = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    hits = keyword.top_hits(keyword.bm25_scores(keyword.query_terms(keyed), docs, "doc_id", "text"), TOP)
+    hits = hits.select(F.split("query_id", "#").alias("k"), F.col("id").alias("doc_id"), "score", "hit_rank").select(F.col("k")[0].alias("query_id"), F.col("k")[1].cast("int").alias("variant"), "doc_id", "score", "hit_rank")
+    return fusion.first_of_each(hits, F.col("doc_id"), "variant", "hit_rank")
+
+
 def _asked_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return v, v.where(F.col("vec_id") % 100 == 0)
@@ -169,7 +181,7 @@ _L2 = "list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[
 _COS = "1 - list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE))))"
 _TOPV = "SELECT query_vec, vec_id, distance, hit_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_vec ORDER BY distance, vec_id) AS hit_rank FROM d) WHERE hit_rank <= 10"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, multi_field_best, function_score, all_terms_match, phrase_match, fuzzy_match, vector_l2_topk, vector_cosine_topk, hydrate_hits, vector_ivf_topk, vector_ivf_recall, hybrid_merge, rrf_fusion, weighted_fusion, adaptive_fusion, dedup_id_or_prefix, dedup_prefix, post_filter)}
+QUERIES = {f.__name__: f for f in (bm25_topk, multi_field_best, function_score, all_terms_match, phrase_match, fuzzy_match, variant_search, vector_l2_topk, vector_cosine_topk, hydrate_hits, vector_ivf_topk, vector_ivf_recall, hybrid_merge, rrf_fusion, weighted_fusion, adaptive_fusion, dedup_id_or_prefix, dedup_prefix, post_filter)}
 _DOCS = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
 _FUSED = "SELECT query_id, id AS doc_id, {cols}score, hit_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS hit_rank FROM f) WHERE hit_rank <= 10"
 _NORM = """na AS (SELECT query_id, id, CASE WHEN max(s1) OVER (PARTITION BY query_id) > 0 THEN s1 / max(s1) OVER (PARTITION BY query_id) ELSE 0.0 END AS n1 FROM a),
@@ -185,6 +197,7 @@ def _precise_sql() -> str:
 
 
 SQL = {
+    "variant_search": "",
     "bm25_topk": f"WITH {ASKED}, {_TERMS}, {_bm25_sql('text', _DOCS, 'doc_id', 's')}, r AS (SELECT query_id, id, round(score, 6) AS score FROM s) SELECT query_id, id AS doc_id, score, hit_rank FROM (SELECT *, {_RANK} AS hit_rank FROM r) WHERE hit_rank <= 10",
     "multi_field_best": f"WITH {CHUNKS}, {ASKED}, {_TERMS}, {', '.join(_bm25_sql(f, 'chunks', 'doc_id', f'f{i}') for i, f in enumerate(BOOSTS))}, u AS ({' UNION ALL '.join(f'SELECT query_id, id, score * {b} AS score FROM f{i}' for i, b in enumerate(BOOSTS.values()))}), r AS (SELECT query_id, id, round(max(score), 6) AS score FROM u GROUP BY query_id, id) SELECT query_id, id AS doc_id, score, hit_rank FROM (SELECT *, {_RANK} AS hit_rank FROM r) WHERE hit_rank <= 10",
     "function_score": f"WITH {CHUNKS}, {ASKED}, {_TERMS}, {_bm25_sql('content', 'chunks', 'doc_id', 's')}, r AS (SELECT query_id, id, round(score * (CASE WHEN section_title <> '' THEN 2.0 ELSE 1.0 END) * (CASE WHEN regexp_matches(content, '图\\s*[0-9]|Fig\\.') THEN 5.0 ELSE 1.0 END) * (CASE WHEN length(content) < 150 THEN 0.3 ELSE 1.0 END), 6) AS score FROM s JOIN chunks ON id = doc_id) SELECT query_id, id AS doc_id, score, hit_rank FROM (SELECT *, {_RANK} AS hit_rank FROM r) WHERE hit_rank <= 10",
@@ -202,3 +215,20 @@ SQL = {
     "dedup_prefix": "WITH h AS (SELECT DISTINCT hit_id, query_id, doc_id, content, hit_rank FROM search_results WHERE content IS NOT NULL) SELECT query_id, hit_id, doc_id, hit_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, substring(content, 1, 100) ORDER BY hit_rank, hit_id) AS nth FROM h) WHERE nth = 1",
     "post_filter": "WITH h AS (SELECT query_id, doc_id, max(coalesce(score, 0.0)) AS score, min(page_number) AS page_number, min(coalesce(chapter_title, '')) AS chapter_title FROM search_results GROUP BY query_id, doc_id), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS hit_rank FROM h) SELECT query_id, doc_id, round(score, 6) AS score, hit_rank FROM t WHERE hit_rank <= 5 AND page_number BETWEEN 1 AND 200 AND regexp_matches(chapter_title, '癌|carcinoma|肺炎') AND score >= 0.1",
 }
+
+
+def _variant_sql() -> str:
+    from quillspark.functions.lexicons import KEY_ENTITIES
+    from quillspark.functions.text import any_of_sql, contained_sql
+
+    suffix = f"CASE WHEN {any_of_sql('question', ['图像', '特征'])} THEN ' 细胞形态 结构特征' WHEN {any_of_sql('question', ['病理', '诊断'])} THEN ' 病理特征 诊断要点' ELSE ' 图像特征 细胞学表现' END"
+    first = ASKED.replace("asked AS", "asked0 AS", 1)
+    return f"""WITH {first}, x AS (SELECT *, {contained_sql('question', KEY_ENTITIES)} AS es FROM asked0),
+        v AS (SELECT query_id, CASE WHEN len(es) > 0 THEN [question, '第.*节 ' || es[1], es[1] || {suffix}] ELSE [question] END AS vs FROM x),
+        asked AS (SELECT query_id || '#' || (generate_subscripts(vs, 1) - 1) AS query_id, unnest(vs) AS question FROM v), {_TERMS}, {_bm25_sql('text', _DOCS, 'doc_id', 's')},
+        r AS (SELECT query_id, id, round(score, 6) AS score FROM s), h AS (SELECT *, {_RANK} AS hit_rank FROM r),
+        k AS (SELECT split_part(query_id, '#', 1) AS query_id, split_part(query_id, '#', 2)::INTEGER AS variant, id AS doc_id, score, hit_rank FROM h WHERE hit_rank <= 10)
+        SELECT query_id, variant, doc_id, score, hit_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY variant, hit_rank) AS nth FROM k) WHERE nth = 1"""
+
+
+SQL["variant_search"] = _variant_sql()
