@@ -104,7 +104,6 @@ def classify_lines(records: DataFrame, book_titles: list[str]) -> DataFrame:
 
     plausible = (F.length("core").between(3, 160)) & ~F.col("s").rlike(r"^#{1,6}\s") & ~F.col("core").rlike("[。；！？;!?]")
     books = F.array(*[F.lit(squeezed_literal(t)) for t in book_titles]) if book_titles else F.array().cast("array<string>")
-    titles = F.concat(F.array("t1", "t2"), books)
 
     def same(h: Column, t: Column) -> Column:
         n, m = F.length(h), F.length(t)
@@ -112,7 +111,11 @@ def classify_lines(records: DataFrame, book_titles: list[str]) -> DataFrame:
         cut = (n >= 3) & (n <= m + 1) & h.endswith("…") & (F.levenshtein(F.substring(t, F.lit(1), n - 1), F.substring(h, F.lit(1), n - 1)) <= F.when(n > 6, 1).otherwise(0))
         return (m > 0) & ((h == t) | near | cut)
 
-    named = F.exists(titles, lambda t: same(F.col("h"), t) | same(F.col("h0"), t))
+    own = reduce(lambda a, b: a | b, [same(F.col(h), F.col(t)) for h in ("h", "h0") for t in ("t1", "t2")])
+    longest = max((len(squeezed_literal(t)) for t in book_titles), default=0)
+    # only lines short enough for a book title are held against all of them
+    book = F.when(F.least(F.length("h"), F.length("h0")) <= longest + 1, F.exists(books, lambda t: same(F.col("h"), t) | same(F.col("h0"), t))).otherwise(False)
+    named = own | book
     shaped = F.col("h").rlike("^(第[一二三四五六七八九十百零0-9]+[章节].|(chapter|section)[0-9]+i?[a-z])") & rest.rlike("^(第|(?i:chapter|section)\\s*[0-9])") & ~F.col("core").rlike("[，,：:]")
     lines = lines.withColumn("is_header", plausible & (named | shaped))
 
