@@ -9,6 +9,9 @@ from quillspark.operators import chunking as C
 from quillspark.plans.common import CHUNKS, chunks
 from quillspark.sources.tables import table
 
+#: White space of any script, for both engines.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 
 def _ids(spark: SparkSession, folder: str) -> DataFrame:
     return chunks(spark, folder).select("doc_id", "content")
@@ -135,7 +138,27 @@ def related_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return shared.select("doc_id", "other_id", score.alias("score")).withColumn("nth", F.row_number().over(best).cast("long")).where("nth <= 3")
 
 
-QUERIES = {f.__name__: f for f in (line_headings, section_bodies, chunk_fixed, chunk_stats, chunk_boundary, toc_lines, toc_sections, titles_from_toc, image_links, clean_text, figure_numbers, previews, latest_hits, late_hits, store_check, missing_vectors, related_chunks)}
+def related_chunks_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Three documents of the same chapter for each, of all others: 10 for the same section, 5 times the shared share of the first 50 words, ties by id.
+
+    Words cannot make up for another section. Where a section has three others, only they are compared;
+    the few documents of smaller sections meet their whole chapter. Blank titles are titles as well.
+    """
+    first = F.array_distinct(F.slice(F.filter(F.split(F.lower("content"), _SPACE), lambda w: w != ""), 1, 50))
+    docs = chunks(spark, folder).select("doc_id", "chapter_title", "section_title", first.alias("w"))
+    sections = docs.groupBy("chapter_title", "section_title").agg(F.countDistinct("doc_id").alias("members"))
+    sized = docs.join(sections, ["chapter_title", "section_title"])
+    other = docs.select(F.col("doc_id").alias("other_id"), "chapter_title", F.col("section_title").alias("other_section"), F.col("w").alias("other_w"))
+    near = sized.where("members > 3").join(other.withColumn("section_title", F.col("other_section")), ["chapter_title", "section_title"])
+    wide = sized.where("members <= 3").join(other, "chapter_title")
+    columns = ["doc_id", "other_id", (F.col("section_title") == F.col("other_section")).alias("same"), "w", "other_w"]
+    met = near.select(*columns).unionByName(wide.select(*columns)).where("doc_id != other_id")
+    score = F.round(F.when(F.col("same"), 10.0).otherwise(0.0) + 5.0 * F.size(F.array_intersect("w", "other_w")) / F.greatest(F.size("w"), F.lit(1)), 6)
+    best = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "other_id")
+    return met.select("doc_id", "other_id", score.alias("score")).withColumn("nth", F.row_number().over(best).cast("long")).where("nth <= 3")
+
+
+QUERIES = {f.__name__: f for f in (line_headings, section_bodies, chunk_fixed, chunk_stats, chunk_boundary, toc_lines, toc_sections, titles_from_toc, image_links, clean_text, figure_numbers, previews, latest_hits, late_hits, store_check, missing_vectors, related_chunks, related_chunks_all)}
 
 _LINES = "lines AS (SELECT doc_id, regexp_replace(line, '\\r$', '') AS line, line_no FROM (SELECT doc_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM chunks))"
 _KIND = r"CASE WHEN regexp_matches(line, '^#\s+(第[一二三四五六七八九十百]+章|Chapter\s+[0-9]+)') THEN 'chapter' WHEN regexp_matches(line, '^##\s+(第[一二三四五六七八九十百]+节|Section\s+[0-9]+)') THEN 'section' WHEN regexp_matches(line, '^##\s+') THEN 'other' ELSE 'body' END"
@@ -165,4 +188,5 @@ SQL = {
     "store_check": "SELECT collection, count(DISTINCT doc_id) AS documents, count(DISTINCT CASE WHEN content IS NULL THEN doc_id END) AS without_content, count(DISTINCT CASE WHEN coalesce(chapter_title, '') = '' THEN doc_id END) AS without_title, count(DISTINCT hit_id) AS hits FROM search_results GROUP BY collection",
     "missing_vectors": "SELECT coalesce(lang, '?') AS lang, count(*) AS documents FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL) GROUP BY 1",
     "related_chunks": f"WITH {CHUNKS}, d AS (SELECT doc_id, chapter_title, section_title, {_W50} AS w FROM chunks WHERE chapter_title <> ''), p AS (SELECT a.doc_id, b.doc_id AS other_id, a.section_title = b.section_title AS same, len(list_intersect(a.w, b.w)) AS shared_words, len(a.w) AS n FROM d a JOIN d b ON a.chapter_title = b.chapter_title AND a.doc_id <> b.doc_id), s AS (SELECT doc_id, other_id, round(CASE WHEN same THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END + 5.0::DOUBLE * shared_words / n, 6) AS score FROM p WHERE shared_words > 0) SELECT doc_id, other_id, score, nth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_id) AS nth FROM s) WHERE nth <= 3",
+    "related_chunks_all": f"WITH {CHUNKS}, d AS (SELECT doc_id, chapter_title, section_title, list_distinct(list_filter(string_split_regex(lower(content), '{_SPACE}'), lambda w: w <> '')[1:50]) AS w FROM chunks), s AS (SELECT a.doc_id, b.doc_id AS other_id, round(CASE WHEN a.section_title = b.section_title THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END + 5.0::DOUBLE * len(list_intersect(a.w, b.w)) / greatest(len(a.w), 1), 6) AS score FROM d a JOIN d b ON a.chapter_title = b.chapter_title AND a.doc_id <> b.doc_id) SELECT doc_id, other_id, score, nth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, other_id) AS nth FROM s) WHERE nth <= 3",
 }
