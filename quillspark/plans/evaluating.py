@@ -103,12 +103,68 @@ def expected_chunk_mapping(spark: SparkSession, folder: str) -> DataFrame:
     return scores.withColumn("nth", F.row_number().over(best).cast("long")).where("nth <= 4")
 
 
+def _best_of_blocks(questions, met):
+    """The four best documents of a block of documents for each question of a block: points of its words summed over their postings."""
+    import numpy as np
+    import pandas as pd
+
+    docs, at = np.unique(met["doc_id"].to_numpy(), return_inverse=True)
+    postings = {word: (at[rows], met["points"].to_numpy(np.int64)[rows]) for word, rows in met.groupby("term").indices.items()}
+    out = []
+    for question, asked in questions.groupby("question_id")["word"]:
+        points = np.zeros(len(docs), np.int64)
+        for word in asked:
+            if word in postings:
+                points[postings[word][0]] += postings[word][1]
+        hit = np.flatnonzero(points)
+        if len(hit) > 4:
+            hit = hit[np.argpartition(hit - points[hit] * len(docs), 3)[:4]]
+        out += [(question, docs[i], points[i]) for i in hit]
+    return pd.DataFrame(out, columns=["question_id", "doc_id", "points"])
+
+
+def expected_chunk_mapping_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The four best documents of each question by keywords and related concepts in any case: 2 for one in the content, 3 for one in a title, ties by id.
+
+    A question without any hit gets two documents in the order of their digests, from a place that its own digest names.
+    Words meet documents through their first two characters; questions meet postings in blocks, of which four documents each remain.
+    """
+    none = F.array().cast("array<string>")
+    asked = table(spark, folder, "questions").select(F.col("id").alias("question_id"), F.explode(F.concat(F.coalesce("keywords", none), F.coalesce("related_concepts", none))).alias("word")).where("word IS NOT NULL").distinct()
+    docs = chunks(spark, folder).select("doc_id", F.lower("content").alias("content"), F.lower(F.concat_ws(" ", "chapter_title", "section_title")).alias("titles"))
+    words = asked.select(F.col("word").alias("term"), F.lower("word").alias("low"), F.substring(F.lower("word"), 1, 2).alias("head")).distinct()
+    text = F.concat_ws("\n", "content", "titles")
+    heads = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1)), F.regexp_extract_all(text, F.lit("(?s)(?=(..))"), F.lit(1))))
+    points = F.when(F.contains("content", F.col("low")), 2).otherwise(0) + F.when(F.contains("titles", F.col("low")), 3).otherwise(0)
+    met = docs.select("doc_id", "content", "titles", F.explode(heads).alias("head")).join(F.broadcast(words), "head").select("doc_id", "term", points.alias("points")).where("points > 0").groupBy("doc_id", "term").agg(F.sum("points").alias("points"))
+
+    doc_blocks, question_blocks = (1 + table(spark, folder, name).count() // size for name, size in (("search_results", 8192), ("questions", 4096)))
+    split = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = asked.select("question_id", "word", split("question_id", question_blocks).alias("qb"), every(doc_blocks).alias("db"))
+    right = met.select("doc_id", "term", "points", split("doc_id", doc_blocks).alias("db"), every(question_blocks).alias("qb"))
+    scores = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(_best_of_blocks, f"question_id string, doc_id {dict(docs.dtypes)['doc_id']}, points long")
+
+    digest = F.md5(F.col("doc_id").cast("string"))
+    ids = table(spark, folder, "search_results").where("content IS NOT NULL").select("doc_id").distinct().select("doc_id", digest.alias("digest"), F.substring(digest, 1, 3).alias("bucket"))
+    counts = ids.groupBy("bucket").agg(F.count("*").alias("n"))
+    starts = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
+    placed = ids.join(starts, "bucket").select("doc_id", (F.col("start") + F.row_number().over(Window.partitionBy("bucket").orderBy("digest", "doc_id")) - 1).alias("place"))
+    first = F.conv(F.substring(F.md5("question_id"), 1, 8), 16, 10).cast("long")
+    places = table(spark, folder, "questions").select(F.col("id").alias("question_id")).distinct().crossJoin(counts.agg(F.sum("n").alias("n")).where("n > 0"))
+    picks = places.select("question_id", F.explode(F.array_distinct(F.array(first % F.col("n"), (first + 1) % F.col("n")))).alias("place")).join(placed, "place").select("question_id", "doc_id", F.lit(0).cast("long").alias("points"))
+
+    of = Window.partitionBy("question_id")
+    rows = scores.unionByName(picks).withColumn("most", F.max("points").over(of)).withColumn("nth", F.row_number().over(of.orderBy(F.col("points").desc(), "doc_id")).cast("long"))
+    return rows.where("nth <= 4 AND (points > 0 OR most = 0)").drop("most")
+
+
 def source_variety(spark: SparkSession, folder: str) -> DataFrame:
     hits = table(spark, folder, "search_results").where("query_id IS NOT NULL")
     return hits.groupBy("query_id").agg(F.countDistinct("source").alias("sources"), F.countDistinct("collection").alias("collections"), F.countDistinct("hit_id").alias("hits"), F.countDistinct("doc_id").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (recall_at_k, metric_summary, latency_summary, success_rate, metric_breakdown, mean_reciprocal_rank, method_difference, question_distributions, chunk_coverage, coverage_stats, missing_expected, expected_chunk_mapping, source_variety)}
+QUERIES = {f.__name__: f for f in (recall_at_k, metric_summary, latency_summary, success_rate, metric_breakdown, mean_reciprocal_rank, method_difference, question_distributions, chunk_coverage, coverage_stats, missing_expected, expected_chunk_mapping, expected_chunk_mapping_all, source_variety)}
 
 
 def _summary_sql(source: str, keys: str, columns: list[str]) -> str:
@@ -129,5 +185,11 @@ SQL = {
     "coverage_stats": f"WITH {CHUNKS}, u AS (SELECT doc_id, count(*) AS questions FROM (SELECT DISTINCT id, unnest(expected_chunk_ids) AS doc_id FROM questions) GROUP BY doc_id), d AS (SELECT DISTINCT doc_id FROM chunks), p AS (SELECT doc_id, coalesce(questions, 0) AS questions FROM d LEFT JOIN u USING (doc_id)) SELECT count(*) AS available, count(*) FILTER (questions > 0) AS used, round(avg(CASE WHEN questions > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 6) AS coverage_percent, max(questions) AS most_used FROM p",
     "missing_expected": f"WITH {CHUNKS}, x AS (SELECT DISTINCT doc_id FROM (SELECT unnest(expected_chunk_ids) AS doc_id FROM questions) WHERE doc_id IS NOT NULL) SELECT doc_id FROM x WHERE doc_id NOT IN (SELECT doc_id FROM chunks WHERE doc_id IS NOT NULL)",
     "expected_chunk_mapping": f"WITH {CHUNKS}, q AS (SELECT DISTINCT question_id, word FROM (SELECT id AS question_id, unnest(keywords) AS word FROM questions) WHERE length(word) >= 2), s AS (SELECT question_id, doc_id, sum(CASE WHEN contains(content, word) THEN 2 ELSE 0 END + CASE WHEN contains(chapter_title || ' ' || section_title, word) THEN 3 ELSE 0 END)::BIGINT AS points FROM q, chunks GROUP BY question_id, doc_id HAVING points > 0) SELECT question_id, doc_id, points, nth FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY points DESC, doc_id) AS nth FROM s) WHERE nth <= 4",
+    "expected_chunk_mapping_all": f"""WITH {CHUNKS}, q AS (SELECT DISTINCT question_id, word FROM (SELECT id AS question_id, unnest(list_concat(coalesce(keywords, []), coalesce(related_concepts, []))) AS word FROM questions) WHERE word IS NOT NULL),
+        s AS (SELECT question_id, doc_id, sum(CASE WHEN contains(lower(content), lower(word)) THEN 2 ELSE 0 END + CASE WHEN contains(lower(chapter_title || ' ' || section_title), lower(word)) THEN 3 ELSE 0 END)::BIGINT AS points FROM q, chunks GROUP BY question_id, doc_id HAVING points > 0),
+        d AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM chunks)),
+        u AS (SELECT DISTINCT id AS question_id, ('0x' || substring(md5(id), 1, 8))::BIGINT AS first FROM questions WHERE id NOT IN (SELECT question_id FROM s)),
+        p AS (SELECT question_id, doc_id, 0::BIGINT AS points FROM u JOIN d ON place = first % n OR place = (first + 1) % n)
+        SELECT question_id, doc_id, points, nth FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY points DESC, doc_id) AS nth FROM (SELECT * FROM s UNION ALL SELECT * FROM p)) WHERE nth <= 4""",
     "source_variety": "SELECT query_id, count(DISTINCT source) AS sources, count(DISTINCT collection) AS collections, count(DISTINCT hit_id) AS hits, count(DISTINCT doc_id) AS documents FROM search_results WHERE query_id IS NOT NULL GROUP BY query_id",
 }
