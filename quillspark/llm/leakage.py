@@ -5,11 +5,14 @@ every character, documents at every ``RUN - WINDOW + 1``-th. A run of ``RUN`` ch
 shares with an item then holds a whole document window, which also is an item window. Each window gets a
 64-bit SimHash of its shingles; two fingerprints within ``RADIUS`` bits agree in at least one of
 ``RADIUS + 1`` blocks, so an equi-join on the blocks meets all of them. A candidate is then verified on the
-texts: the exact shared run, and the weighted-shingle similarity of the item and the stretch of the
-document around that run, in which a shingle weighs the less the more items have it.
-
-Scale: document windows never leave their task but as (id, position, fingerprint); items are a small
-table whose windows are broadcast only below ``BROADCAST_WINDOWS`` and joined by shuffle above. Texts
+texts: the exact shared run, and the weighted-shingle similarity of the item and the item-sized stretch of the
+document that covers most of it, in which a shingle weighs the less the more items have it; shingles of the
+stretch that the item lacks weigh like those of a single item. ``leaks`` selects by the run, ``edited_leaks`` by the similarity, so that
+it also has items that were changed in a few places.
+
+Scale: document windows never leave their task but as (id, fingerprint); items are a small
+table whose windows are broadcast only below ``BROADCAST_WINDOWS`` and joined by shuffle above. Blocks are 32 bits wide, so
+a block of a large corpus meets few others by chance. Shingle weights are a table that is joined to the items. Texts
 meet candidates only, after they shrank to distinct document-item pairs.
 
 Edge cases: null and short texts (below ``RUN`` normalised characters) share no run; equal items and equal
@@ -32,11 +35,12 @@ from quillspark.sources.tables import table
 RUN = 60
 WINDOW = 40
 SHINGLE = 5
-RADIUS = 3
+#: With one more block than this many differing bits a block is 32 bits wide.
+RADIUS = 1
+#: Least weighted similarity of an edited leak.
+SIMILAR = 0.8
 #: Below this number of item windows their blocks are broadcast.
 BROADCAST_WINDOWS = 400_000
-#: Up to this number of items their shingle counts are gathered as weights.
-MAX_WEIGHT_ITEMS = 20_000
 
 _OTHER = re.compile(r"[\W_]+")
 #: Distance of document windows: a shared run of RUN characters holds one of them wholly.
@@ -102,63 +106,58 @@ def _windows(stride: int):
 
 def windows(texts: DataFrame, id_column: str, text_column: str, stride: int) -> DataFrame:
     """``(id, pos, print)`` of the windows of distinct texts."""
-    rows = texts.where(F.col(text_column).isNotNull() & (F.length(text_column) >= WINDOW)).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    rows = texts.where(F.col(text_column).isNotNull() & (F.col(text_column) != "")).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(_windows(stride), "id long, pos int, print long")
 
 
 def blocks(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per window and block of its fingerprint."""
+    """One row per fingerprint and block of it."""
     width = 64 // (radius + 1)
     mask = (1 << width) - 1
-    parts = F.array(*[(F.shiftrightunsigned("print", k * width).bitwiseAND(F.lit(mask)) + F.lit(k << width)).cast("int") for k in range(radius + 1)])
-    return prints.select("id", "pos", "print", F.explode(parts).alias("block"))
+    parts = F.array(*[F.struct(F.lit(k).alias("number"), F.shiftrightunsigned("print", k * width).bitwiseAND(F.lit(mask)).alias("value")) for k in range(radius + 1)])
+    return prints.select("id", "print", F.explode(parts).alias("block"))
 
 
 def candidates(documents: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, item_id)`` that have windows within ``radius`` bits of each other."""
-    item_blocks = blocks(windows(items, "item_id", "text", 1).select("id", "print").distinct().withColumn("pos", F.lit(0)), radius).select(F.col("id").alias("item_id"), F.col("print").alias("item_print"), "block")
-    doc_blocks = blocks(windows(documents, "doc_id", "text", DOCUMENT_STRIDE).select("id", "print").withColumn("pos", F.lit(0)), radius).select(F.col("id").alias("doc_id"), F.col("print").alias("doc_print"), "block")
+    item_blocks = blocks(windows(items, "item_id", "text", 1).select("id", "print").distinct(), radius).select(F.col("id").alias("item_id"), F.col("print").alias("item_print"), "block")
+    doc_blocks = blocks(windows(documents, "doc_id", "text", DOCUMENT_STRIDE).select("id", "print"), radius).select(F.col("id").alias("doc_id"), F.col("print").alias("doc_print"), "block")
     small = item_blocks.select("item_id").limit(BROADCAST_WINDOWS * (radius + 1) + 1).count() <= BROADCAST_WINDOWS * (radius + 1)
     other = F.broadcast(item_blocks) if small else item_blocks
     near = F.bit_count(F.col("doc_print").bitwiseXOR(F.col("item_print"))) <= radius
     return doc_blocks.join(other, "block").where(near).select("doc_id", "item_id").distinct()
 
 
-class ShingleWeights:
-    """``log(1 + items / items with the shingle)``; shingles of no item weigh like those of one."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, items: int):
-        order = np.argsort(hashes)
-        self.hashes, self.weights = hashes[order], np.log1p(items / counts[order])
-        self.rare = float(np.log1p(max(1, items)))
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), self.rare)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.weights[at], self.rare)
-
-
-def learn_weights(items: DataFrame) -> ShingleWeights:
-    """Shingle weights from up to ``MAX_WEIGHT_ITEMS`` items; equal weights for a larger table."""
-    count = items.limit(MAX_WEIGHT_ITEMS + 1).count()
-    if count > MAX_WEIGHT_ITEMS:
-        return ShingleWeights(np.zeros(0, np.uint64), np.zeros(0), 1)
+def weighted_items(items: DataFrame) -> DataFrame:
+    """Adds ``features`` and ``weights`` to distinct items: each shingle and ``log(1 + items / items that have it)``, and the weight ``rare`` of a single item's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(normalise(t))) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) if found else np.zeros(0, np.uint64)).view(np.int64))], ["h"])
-
-    rows = items.select("text").mapInArrow(run, "h long").groupBy("h").count().toPandas()
-    return ShingleWeights(rows["h"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.float64), max(1, count))
-
-
-def weighted_similarity(a: str, b: str, weights: ShingleWeights) -> float:
-    """Weighted Jaccard similarity of the shingle sets of two normalised texts."""
-    x, y = np.unique(shingle_hashes(a)), np.unique(shingle_hashes(b))
-    total = float(weights.of(np.union1d(x, y)).sum())
-    return float(weights.of(np.intersect1d(x, y, assume_unique=True)).sum()) / total if total else 0.0
+            found = [np.unique(shingle_hashes(normalise(t))).view(np.int64) for t in batch.column(1).to_pylist()]
+            index = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["item_id", "h"])
+
+    total = items.count()
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, h long")
+    weights = rows.groupBy("h").agg(F.log1p(F.lit(float(max(1, total))) / F.count("*")).alias("w"))
+    lists = rows.join(weights, "h").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("pairs"))
+    return items.join(lists, "item_id", "left").select("item_id", "text", F.coalesce(F.col("pairs.h"), F.array().cast("array<long>")).alias("features"), F.coalesce(F.col("pairs.w"), F.array().cast("array<double>")).alias("weights"), F.lit(float(np.log1p(max(1, total)))).alias("rare"))
+
+
+def weighted_similarity(document: str, size: int, features: np.ndarray, weights: np.ndarray, rare: float) -> float:
+    """Weighted Jaccard similarity of an item's shingles and those of the stretch of ``size`` characters of the normalised document that covers most of them."""
+    h = shingle_hashes(document).view(np.int64)
+    if not len(h) or not len(features):
+        return 0.0
+    at = np.minimum(np.searchsorted(features, h), len(features) - 1)
+    known = features[at] == h
+    per = min(len(h), max(1, size - SHINGLE + 1))
+    total = np.concatenate([[0.0], np.cumsum(np.where(known, weights[at], 0.0))])
+    start = int(np.argmax(total[per:] - total[: len(total) - per]))
+    stretch, mine = h[start : start + per], known[start : start + per]
+    both = float(weights[np.unique(at[start : start + per][mine])].sum())
+    other = rare * len(np.unique(stretch[~mine]))
+    return both / (float(weights.sum()) + other)
 
 
 def shared_run(document: str, item: str, run: int = RUN) -> tuple[int, int]:
@@ -185,39 +184,49 @@ def shared_run(document: str, item: str, run: int = RUN) -> tuple[int, int]:
     return best, at
 
 
-def _verify(run_length: int, shared):
+def _verify(run_length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
         for batch in batches:
-            keep, lengths, share, alike = [], [], [], []
+            lengths, share, alike = [], [], []
             last, norm = None, ""
-            for r, (doc, item) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            columns = [batch.column(k).to_pylist() for k in (2, 3)] + [batch.column(k) for k in (4, 5, 6)]
+            for r, (doc, item) in enumerate(zip(columns[0], columns[1], strict=True)):
                 if doc != last:
                     last, norm = doc, normalise(doc)
                 other = normalise(item)
-                n, at = shared_run(norm, other, run_length)
-                if n >= run_length:
-                    keep.append(r)
-                    lengths.append(n)
-                    share.append(n / len(other))
-                    alike.append(weighted_similarity(norm[max(0, at - len(other) // 2) : at + len(other)], other, weights))
-            index = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(lengths, pa.int32()), pa.array(share, pa.float64()), pa.array(alike, pa.float64())], ["doc_id", "item_id", "run_chars", "item_share", "similarity"])
+                n, _ = shared_run(norm, other, run_length)
+                lengths.append(n)
+                share.append(n / max(1, len(other)))
+                features, weights = columns[2][r].values.to_numpy(), columns[3][r].values.to_numpy()
+                alike.append(weighted_similarity(norm, len(other), features, weights, columns[4][r].as_py()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.int32()), pa.array(share, pa.float64()), pa.array(alike, pa.float64())], ["doc_id", "item_id", "run_chars", "item_share", "similarity"])
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, run_length: int = RUN) -> DataFrame:
-    """``(doc_id, item_id, run_chars, item_share, similarity)`` of the documents that share a run with an item."""
+def judged_candidates(documents: DataFrame, items: DataFrame, run_length: int = RUN) -> DataFrame:
+    """``(doc_id, item_id, run_chars, item_share, similarity)`` of all candidates; ``run_chars`` is 0 below ``run_length``."""
     if run_length < RUN:
         raise ValueError(f"windows are laid out for runs of at least {RUN} characters")
     documents = documents.select("doc_id", "text").where("text IS NOT NULL").distinct()
     items = items.select("item_id", "text").where("text IS NOT NULL").distinct()
     found = candidates(documents, items)
     texts = found.join(documents, "doc_id").select("doc_id", "item_id", F.col("text").alias("doc_text"))
-    pairs = texts.join(items, "item_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("item_id").cast("long").alias("item_id"), "doc_text", F.col("text").alias("item_text"))
-    weights = items.sparkSession.sparkContext.broadcast(learn_weights(items))
-    return pairs.mapInArrow(_verify(run_length, weights), "doc_id long, item_id long, run_chars int, item_share double, similarity double")
+    pairs = texts.join(weighted_items(items), "item_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("item_id").cast("long").alias("item_id"), "doc_text", F.col("text").alias("item_text"), "features", "weights", "rare")
+    return pairs.mapInArrow(_verify(run_length), "doc_id long, item_id long, run_chars int, item_share double, similarity double")
+
+
+def leaks(documents: DataFrame, items: DataFrame, run_length: int = RUN) -> DataFrame:
+    """The candidates that share a run of at least ``run_length`` characters."""
+    return judged_candidates(documents, items, run_length).where(F.col("run_chars") >= run_length)
+
+
+def edited_leaks(documents: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The candidates that hold a whole item but for small edits: a weighted similarity of at least ``similar`` to an item-sized stretch.
+
+    An item that is edited so often that no run of ``RUN`` characters is left is found where some window of it is left by chance.
+    """
+    return judged_candidates(documents, items).where(F.col("similarity") >= similar)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,4 +239,10 @@ def p6_leaks_by_item(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max("item_share"), 6).alias("largest_share"), F.max("run_chars").alias("longest_run"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_leaks_by_item": p6_leaks_by_item}
+def p6_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a whole item but for small edits."""
+    found = edited_leaks(table(spark, folder, "documents"), table(spark, folder, "heldout_items"))
+    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+
+
+QUERIES = {"p6_edited": p6_edited, "p6_found": p6_found, "p6_leaks_by_item": p6_leaks_by_item}
