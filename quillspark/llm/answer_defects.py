@@ -4,16 +4,19 @@ Each pair gets at most one kind, the first that holds: ``empty``, ``copy``, ``re
 ``other_language``, ``truncated``. The first four are column expressions over one pair. An answer is truncated if
 
 * it ends in an open bracket or quotation, in a clause mark, an enumerator or an ellipsis;
-* sorted among all answers, its successor continues it (a shortened version of another answer);
+* sorted among all answers, its successor continues it (a shortened version of another answer), or sorted among the clauses of
+  all answers, the successor of its last clause continues that one, which itself never ends a sentence;
 * it has no end mark and its length is a spike in the lengths of such answers (a length limit);
 * it has no end mark and the corpus never ends a sentence so: all answers are cut into clauses, and
   for the last two to four characters (one and two words in spaced scripts) of a clause, for its first
   characters, and for the sentence's first characters with the number of clauses so far, Spark counts how
   often a sentence goes on and how often it ends there.
 
+An answer that is a mere term (one clause without any function word) needs no sentence and is not truncated by such statistics.
+
 Scale: pairs are rows; clause statistics are aggregated on the map side and meet the few open answers in
-an equi-join; sorted neighbours come from a range-partitioned sort, of which only each partition's first
-and last row are compared across partitions.
+an equi-join; sorted neighbours come from a range-partitioned sort of the distinct answers and clauses, of which only each
+partition's first and last row are compared across partitions, empty partitions left out.
 
 Edge cases: a null or blank answer is ``empty``, whatever its question is; a null question is an empty
 one; repeated rows count once; other columns are ignored.
@@ -23,9 +26,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.session import cut_lineage
@@ -53,6 +57,11 @@ _STOPWORDS = {
 _ASKS = {"en": "英文|英语|英譯|译成英|english", "zh": "中文|汉语|chinese", "de": "德文|德语|german", "fr": "法文|法语|french", "ja": "日文|日语|japanese", "hi": "印地|hindi", "th": "泰文|泰语|thai"}
 
 
+#: Without any of these an answer is a term and no sentence; particles and predicates.
+_FUNCTION_HAN = "[的是为有和与及或而但则其这该呈着了被把将可能会应宜须于时若如未不无较见且因占由从至等在约成若便中]|[はがをにでのともた]|ที่|และ|ใน|มี|จาก|กับ|ของ|เพื่อ|ว่า|เมื่อ|พบ|ให้|ควร"
+_FUNCTION_HINDI = r"(?:^|\s)(?:में|है|हैं|और|के|की|का|से|को|या|एक|पर|यह|तथा|न|नहीं)(?:\s|$)"
+
+
 def plain(text: Column) -> Column:
     """Without markup, list marks and labels of an answer."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^<>]*>", " ")
@@ -150,30 +159,32 @@ def clause_keys(clause: str, sentence_start: str, number: int, latin: bool) -> l
     return [*ends, "c:" + first, f"f:{_masked(sentence_start)[:3]}#{number}"]
 
 
+def clauses_of(text: str) -> Iterator[tuple[str, list[str], bool, bool]]:
+    """Each clause with its keys, whether it ends a sentence, and whether it is the last one of an answer without an end mark."""
+    latin = len(re.findall(r"[A-Za-zÀ-ÿऀ-ॿ]", text)) > 0.5 * max(1, len(re.sub(r"[\W\d_]", "", text)))
+    listed = bool(re.search(r"(^|\n)\s*[0-9]+[.)]\s", text))
+    sentences = [s for s in _SPLIT.split(text) if s and s.strip()]
+    for k, s in enumerate(sentences):
+        last = k == len(sentences) - 1
+        s = re.sub(r"^\s*(?:[0-9]+[.)]|[①-⑳])\s*", "", s.strip())
+        done = bool(_END.search(s)) or (listed and not last)
+        body = re.sub(r"[。！？!?।.”’」』»“\"]+$", "", s)
+        parts = [p for p in _CLAUSE.split(body) if p.strip()]
+        for n, p in enumerate(parts):
+            p = re.sub(r"^[①-⑳“”「」\"\s]+", "", p)
+            if p:
+                final = n == len(parts) - 1
+                yield p, clause_keys(p, s, n + 1, latin), final and done, final and last and not done
+
+
 def _clauses(kind: str):
     """For ``stats`` one row per clause end and key; for ``open`` the keys of each answer's last clause, if it has no end mark."""
 
-    def of(text: str) -> Iterator[tuple[list[str], bool, bool]]:
-        latin = len(re.findall(r"[A-Za-zÀ-ÿऀ-ॿ]", text)) > 0.5 * max(1, len(re.sub(r"[\W\d_]", "", text)))
-        listed = bool(re.search(r"(^|\n)\s*[0-9]+[.)]\s", text))
-        sentences = [s for s in _SPLIT.split(text) if s and s.strip()]
-        for k, s in enumerate(sentences):
-            last = k == len(sentences) - 1
-            s = re.sub(r"^\s*(?:[0-9]+[.)]|[①-⑳])\s*", "", s.strip())
-            done = bool(_END.search(s)) or (listed and not last)
-            body = re.sub(r"[。！？!?।.”’」』»“\"]+$", "", s)
-            parts = [p for p in _CLAUSE.split(body) if p.strip()]
-            for n, p in enumerate(parts):
-                p = re.sub(r"^[①-⑳“”「」\"\s]+", "", p)
-                if p:
-                    final = n == len(parts) - 1
-                    yield clause_keys(p, s, n + 1, latin), final and done, final and last and not done
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, ends, ids = [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
-                for names, at_end, cut_off in of(text):
+                for _, names, at_end, cut_off in clauses_of(text):
                     if kind == "stats" and not cut_off:
                         keys.extend(names)
                         ends.extend([int(at_end)] * len(names))
@@ -201,33 +212,53 @@ def _broken_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "ending"])
 
 
-def shortened_versions(texts: DataFrame) -> DataFrame:
-    """``answer_id`` of every ``text`` that its successor in sorted order continues by more than an end mark."""
+def is_term(text: Column) -> Column:
+    """One clause without any function word."""
+    low = F.lower(text)
+    latin = r"(?<![\p{L}])(" + "|".join(sorted({w for words in _STOPWORDS.values() for w in words.split()})) + r")(?![\p{L}])"
+    return ~text.rlike(r"[，；、：;:\n]|,(?=\s|$)") & ~low.rlike(f"{_FUNCTION_HAN}|{_FUNCTION_HINDI}|{latin}")
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(unit, ended, answer_id)``: whole answers and clauses, without marks at their ends; the id where an open answer breaks off with the unit."""
+    for batch in batches:
+        units, ended, ids = [], [], []
+        for answer, text, ending in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            is_open = ending == "open"
+            units.append("w " + re.sub(r"[\W_]+$", "", text))
+            ended.append(int(not is_open))
+            ids.append(answer if is_open else None)
+            for p, _, at_end, cut_off in clauses_of(text):
+                units.append("c " + re.sub(r"[\W_]+$", "", _masked(p)))
+                ended.append(int(at_end))
+                ids.append(answer if cut_off and is_open else None)
+        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(ended, pa.int64()), pa.array(ids, pa.int64())], ["unit", "ended", "answer_id"])
+
+
+def continued(units: DataFrame) -> DataFrame:
+    """Every ``unit`` of the distinct units that its successor in sorted order continues.
+
+    Of all units that begin with a given one, if there are any, one follows it directly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        last = None
-        out: list[tuple[int, int, str, str]] = []
-        first_seen = False
+        part, first, last = TaskContext.get().partitionId(), None, None
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not first_seen:
-                    out.append((part, i, t, "first"))
-                    first_seen = True
-                if last and t.startswith(last[1]) and _WORDLIKE.search(t, len(last[1])):
-                    out.append((part, last[0], "", "found"))
-                last = (i, t)
-        if last:
-            out.append((part, last[0], last[1], "last"))
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["part", "answer_id", "text", "what"])
-
-    seen = texts.select("answer_id", "text").orderBy("text", "answer_id").mapInArrow(run, "part int, answer_id long, text string, what string")
-    first = seen.where("what = 'first'").select((F.col("part") - 1).alias("part"), F.col("text").alias("next_text"))
-    across = seen.where("what = 'last'").join(first, "part").where(F.expr("startswith(next_text, text) AND substring(next_text, length(text) + 1) rlike '[\\\\p{L}\\\\p{N}]'")).select("answer_id")
-    return seen.where("what = 'found'").select("answer_id").union(across).distinct()
+            names = batch.column(0).to_pylist()
+            if names and first is None:
+                first = names[0]
+            found = [a for a, b in zip([last, *names], names, strict=False) if a is not None and b.startswith(a)]
+            last = names[-1] if names else last
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), pa.array(found, pa.string()), pa.array([None] * len(found), pa.string())], ["part", "unit", "first"])
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([last], pa.string()), pa.array([first], pa.string())], ["part", "unit", "first"])
+
+    seen = units.select("unit").distinct().orderBy("unit").mapInArrow(run, "part int, unit string, first string")
+    # one row a partition that holds any unit
+    edges = seen.where("first IS NOT NULL").withColumn("next", F.lead("first").over(Window.orderBy("part")))
+    return seen.where("first IS NULL").select("unit").union(edges.where("startswith(next, unit)").select("unit"))
 
 
 def length_spikes(open_answers: DataFrame, least: int = 20, factor: int = 8) -> DataFrame:
@@ -237,8 +268,8 @@ def length_spikes(open_answers: DataFrame, least: int = 20, factor: int = 8) ->
     return counts.join(around, "size", "left").where((F.col("n") >= least) & (F.col("n") >= factor * (F.coalesce("near", F.lit(0.0)) + 1))).select("size")
 
 
-def defects(pairs: DataFrame) -> DataFrame:
-    """``(record_kind, record_id, defect_type)`` of the defective pairs of ``(record_kind, record_id, question, answer)``."""
+def analyse(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The judged pairs, and ``(answer_id, rules)`` of truncated answers with the rules that say so."""
     rows = pairs.select("record_kind", F.col("record_id").cast("string").alias("record_id"), "question", "answer").distinct()
     judged = cut_lineage(judged_pairs(rows))
     texts = judged.where("defect IS NULL").select(F.col("answer").alias("text")).distinct().select(F.xxhash64("text").alias("answer_id"), "text")
@@ -246,9 +277,7 @@ def defects(pairs: DataFrame) -> DataFrame:
     texts = ending.select("answer_id", "text")
     # answers that certainly broke off say nothing about how sentences end
     stats = ending.where("ending != 'broken'").select("answer_id", "text").mapInArrow(_clauses("stats"), "key string, at_end long").groupBy("key").agg(F.sum("at_end").alias("ends"), F.count("*").alias("n"))
-    # a short answer of one clause needs no sentence
-    short = (F.length("text") <= 48) & ~F.col("text").rlike(r"[，；、：,;:\n]") & (F.length(F.regexp_replace("text", r"[A-Za-z0-9/-]+", "a")) <= 12)
-    still_open = ending.where((F.col("ending") == "open") & ~short).select("answer_id", "text")
+    still_open = ending.where((F.col("ending") == "open") & ~is_term(F.col("text"))).select("answer_id", "text")
     keys = still_open.mapInArrow(_clauses("open"), "answer_id long, key string").join(stats, "key", "left")
     n = {k: F.coalesce(F.max(F.when(F.startswith("key", F.lit(k + ":")), F.col("n"))), F.lit(0)) for k in ("e3", "e2", "e1", "c", "f")}
     ends = {k: F.coalesce(F.max(F.when(F.startswith("key", F.lit(k + ":")), F.col("ends"))), F.lit(0)) for k in n}
@@ -256,8 +285,19 @@ def defects(pairs: DataFrame) -> DataFrame:
     by_suffix = F.when(F.col("n_e3") >= 3, F.col("ends_e3") * 50 < F.col("n_e3")).when(F.col("n_e2") >= 3, F.col("ends_e2") * 50 < F.col("n_e2")).otherwise(F.col("ends_e1") * 50 <= F.col("n_e1"))
     never = seen.where(by_suffix | ((F.col("n_c") >= 20) & (F.col("ends_c") == 0)) | ((F.col("n_f") >= 20) & (F.col("ends_f") == 0)))
     spiked = still_open.join(length_spikes(still_open), F.length("text") == F.col("size"), "left_semi")
-    shorter = shortened_versions(texts).join(still_open, "answer_id", "left_semi")
-    truncated = ending.where("ending = 'broken'").select("answer_id").union(never.select("answer_id")).union(spiked.select("answer_id")).union(shorter.select("answer_id")).distinct()
+    units = ending.where("ending != 'broken'").select("answer_id", "text", "ending").mapInArrow(_units, "unit string, ended long, answer_id long")
+    shortened = continued(units).join(units.groupBy("unit").agg(F.sum("ended").alias("ended")).where("ended = 0"), "unit", "left_semi")
+    shorter = units.where("answer_id IS NOT NULL").join(shortened, "unit", "left_semi").select("answer_id").distinct()
+    # a clause that no sentence ended with so far may still be a whole one, if its last words often end sentences
+    shorter = shorter.join(seen, "answer_id").where(F.col("ends_e1") * 4 < F.greatest(F.col("n_e1"), F.lit(4)))
+    rules = {"broken": ending.where("ending = 'broken'"), "neighbour": shorter, "spike": spiked, "statistics": never}
+    truncated = reduce(DataFrame.union, [rows.select("answer_id", F.lit(rule).alias("rule")) for rule, rows in rules.items()])
+    return judged, truncated.groupBy("answer_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+
+
+def defects(pairs: DataFrame) -> DataFrame:
+    """``(record_kind, record_id, defect_type)`` of the defective pairs of ``(record_kind, record_id, question, answer)``."""
+    judged, truncated = analyse(pairs)
     plain_ones = judged.where("defect IS NOT NULL").select("record_kind", "record_id", F.col("defect").alias("defect_type"))
     cut = judged.where("defect IS NULL").withColumn("answer_id", F.xxhash64("answer")).join(truncated, "answer_id", "left_semi").select("record_kind", "record_id", F.lit("truncated").alias("defect_type"))
     return plain_ones.union(cut).distinct()

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quillspark.llm import answer_defects as ad
 
 SCHEMA = "record_kind string, record_id string, question string, answer string, defect string, plain string"
@@ -39,10 +41,36 @@ def test_truncated(spark):
     assert kinds(spark, *[(q, a) for a in answers]) == ["truncated", "truncated", "truncated", "truncated", None, None, "truncated", "truncated"]
 
 
-def test_shortened_version_of_a_neighbour(spark):
-    texts = spark.createDataFrame([(1, "abc def"), (2, "abc def ghi"), (3, "abd"), (4, "zz"), (5, "zzz")], "answer_id long, text string")
-    assert {r[0] for r in ad.shortened_versions(texts).collect()} == {1, 4}
-    assert ad.shortened_versions(texts.limit(0)).count() == 0
+def test_units_that_their_successor_continues(spark):
+    names = ["abc def", "abc def ghi", "abc def gxi", "abd", "zz", "zzz", "zzz", "q"]
+    units = spark.createDataFrame([(n,) for n in names], "unit string")
+    assert {r[0] for r in ad.continued(units).collect()} == {"abc def", "zz"}
+    assert ad.continued(units.limit(0)).count() == 0
+
+
+def test_neighbours_across_partitions(spark):
+    # many more partitions than rows: each unit alone in one, with empty ones between
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        names = ["a" * k for k in range(1, 12)] + ["b" * k for k in range(1, 12)] + ["c"]
+        units = spark.createDataFrame([(n,) for n in names], "unit string")
+        assert {r[0] for r in ad.continued(units).collect()} == set(names) - {"a" * 11, "b" * 11, "c"}
+    finally:
+        spark.conf.unset("spark.sql.shuffle.partitions")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_neighbours_decide_without_statistics(spark):
+    answers = ["镜下见鳞状细胞，核膜着橙黄色、质", "镜下见腺样细胞，核膜着橙黄色、质地细腻。"]
+    rows = spark.createDataFrame([("response", str(k), "核仁有哪些表现？", a, "x", "y") for k, a in enumerate(answers)], SCHEMA)
+    judged, truncated = ad.analyse(rows)
+    assert [(r["answer"], "neighbour" in r["rules"]) for r in judged.join(truncated, F.xxhash64("answer") == F.col("answer_id")).collect()] == [(answers[0], True)]
+
+
+def test_terms_need_no_sentence(spark):
+    rows = spark.createDataFrame([(t,) for t in ("类癌", "CK7", "转移性大细胞神经内分泌癌伴", "核膜着橙", "the nuclei of", "carcinoid tumour, typical")], "text string")
+    assert [r[0] for r in rows.where(ad.is_term(F.col("text"))).collect()] == ["类癌", "CK7", "转移性大细胞神经内分泌癌伴"]
 
 
 def test_length_spikes(spark):
