@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,7 +22,27 @@ def brute(text, least, times):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abc", max_size=60), st.integers(1, 5), st.integers(2, 4))
 def test_coverage_equals_brute_force(text, least, times):
-    assert ps.repeated_share(text, least, times) == pytest.approx(brute(text, least, times))
+    expected = pytest.approx(brute(text, least, times))
+    assert ps.repeated_shares(text, (least,), times)[0] == expected
+    assert ps.counted_shares(["ab", text, "", "c"], [2, least, 3, 1], times)[1] == expected
+
+
+def test_long_pages_have_the_coverage_of_their_whole_text(spark, monkeypatch):
+    rng = random.Random(2)
+    block = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(700))
+    texts = [block * 3, block * 2, block * 2 + block[::-1] + block]
+    rows = spark.createDataFrame([(k, t, 0.0, "x") for k, t in enumerate(texts)], SCHEMA)
+    whole_rows = sorted(ps.spam_scores(rows).collect())
+    whole = [tuple(r) for r in whole_rows]
+    monkeypatch.setattr(ps, "AUTOMATON_CHARS", 500)
+    assert sorted(map(tuple, ps.spam_scores(rows).collect())) == whole
+    assert [round(r["phrase_coverage"], 2) for r in whole_rows] == [1.0, 0.0, 0.75]
+
+
+def test_settled_pages_are_those_below_the_score(spark):
+    rows = spark.createDataFrame([(k, t, 0.0, "x") for k, t in enumerate(SPAM + FINE)], SCHEMA)
+    every = ps.spam_scores(rows)
+    assert sorted(map(tuple, ps.spam_scores(rows, 0.5).collect())) == sorted(map(tuple, every.where("score > 0.5").collect()))
 
 
 SPAM = [
@@ -28,6 +50,7 @@ SPAM = [
     "、".join(f"{c}{d}{x}" for c in ("云屏", "松汀") for d in ("腺癌", "类癌") for x in ("多少钱", "哪家好", "在线咨询", "专家预约")),
     "。".join(f"{d}{x}" for d in ("腺癌", "类癌", "刷检") for x in ("多少钱", "哪家好", "最新报价", "专家预约")),
     "#巴氏法 #CK7 #腺癌 #瑞氏法 #CK20 #类癌",
+    "#肺泡灌洗#小细胞·癌#快速染色#TTF-1#巴氏法#肉芽肿性炎#ALK#错构瘤",
     "\n".join(f"品牌:禾片 型号:K{k} 规格:{k}片/盒 现货 包邮" for k in range(12)),
     "Brushing is brushing, and brushing for lavage means brushing lavage. " * 12,
     PROSE + "\n" + "".join(f'<a href="http://x.test/{k}">类癌批发</a>' for k in range(20)),
@@ -56,3 +79,4 @@ def test_odd_rows(spark):
     got = [(r["doc_id"], r["score"] > 0.5) for r in ps.spam_scores(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert set(got) == {(4, True)}
     assert ps.spam_scores(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert [r[0] for r in ps.spam_scores(spark.createDataFrame(rows, SCHEMA), 0.5).collect()] == [4, 4]
