@@ -9,14 +9,15 @@
    are reported as unreachable and the rest is scaled up. Projected gradient descent on the squared
    distance between expected and wanted tokens per source then fits a rate in [0, max_repeats] for every
    document. A document's rate depends only on its posteriors and on the sequence of residuals (a few numbers per
-   round and mixture), so one round is one aggregation and no state is kept per document.
+   round and mixture), so one round is one aggregation and no state is kept per document. The descent ends when no source
+   of any mixture is further than ``TOLERANCE`` of the mixture's size from its goal, or after ``MAX_ROUNDS``; the distance left is reported.
 4. Rates become whole numbers of copies by systematic rounding inside hash buckets of each source, so the
    totals of small sources come out close, too.
 
 Scale: one pass tokenises and classifies; the documents' sizes and sparse posteriors are written once to the
 checkpoint folder. Documents of equal membership fold into one row with their token total for the descent, so
 only documents with soft membership are aggregated one by one. The driver holds one number per
-mixture, source and round. Rounding windows are bounded by the bucket size, whatever a source's share is.
+mixture, source and round, and the classifier ``FEATURES`` weights a source (more than ``MAX_SOURCES`` sources are refused). Rounding windows are bounded by the bucket size, whatever a source's share is.
 
 Edge cases: null and empty texts have no size and no copies; spelling variants of a source count as one
 source; a mixture without any available source is reported with zero tokens; repeated rows count once;
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +40,10 @@ from quillspark.sources.tables import table
 TOKENIZER = os.environ.get("QUILLSPARK_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 MAX_TRAIN_PER_SOURCE = 2000
 FEATURES = 1 << 14
-ROUNDS = 12
+#: Sources that the classifier tells apart; its weights take 128 KiB a source.
+MAX_SOURCES = 1000
+TOLERANCE, MAX_ROUNDS = 0.0005, 60
 BUCKET_DOCUMENTS = 5000
-#: Members with less are dropped from a document's posteriors, which are then scaled to a sum of one.
-LEAST_POSTERIOR = 0.01
 
 
 def source_name(c: Column) -> Column:
@@ -102,13 +102,15 @@ class SourceClassifier:
 
 def fit_classifier(labelled: DataFrame) -> SourceClassifier:
     """Fits on up to ``MAX_TRAIN_PER_SOURCE`` documents of each source, those with the least hashes of their texts."""
-    totals = labelled.groupBy("source").agg(F.count("*").alias("n")).orderBy("source").collect()
-    names = [r["source"] for r in totals]
-    documents = np.array([r["n"] for r in totals], float)
+    totals = labelled.groupBy("source").agg(F.count("*").alias("n"))
+    found = sorted((r["source"], r["n"]) for r in totals.limit(MAX_SOURCES + 1).collect())
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; join rare ones under one name first")
+    names = [name for name, _ in found]
+    documents = np.array([n for _, n in found], float)
     # a share of each source by hash keeps the sample small without a sort of the whole source
-    shares = {r["source"]: min(1.0, MAX_TRAIN_PER_SOURCE / r["n"]) for r in totals}
-    rate = reduce(lambda acc, item: F.when(F.col("source") == item[0], F.lit(item[1])).otherwise(acc), shares.items(), F.lit(0.0))
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate * 1_000_000)
+    place = F.xxhash64("text") / F.lit(2.0**64) + 0.5
+    sample = labelled.join(F.broadcast(totals), "source").where(place * F.col("n") < MAX_TRAIN_PER_SOURCE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         position = {name: k for k, name in enumerate(names)}
@@ -141,83 +143,125 @@ def membership(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             members: list[list[dict]] = [[{"name": s, "p": 1.0}] if s is not None else [] for s in source]
             for k, i in enumerate(unknown):
                 if classifier.names:
-                    kept = np.nonzero(soft[k] >= LEAST_POSTERIOR)[0]
-                    total = soft[k][kept].sum()
-                    members[i] = [{"name": classifier.names[j], "p": float(soft[k][j] / total)} for j in kept]
+                    members[i] = [{"name": name, "p": float(p)} for name, p in zip(classifier.names, soft[k], strict=True)]
             kind = pa.list_(pa.struct([("name", pa.string()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count(texts), pa.int64()), pa.array(members, kind)], ["doc_id", "source", "tokens", "members"])
 
     return rows.mapInArrow(run, "doc_id long, source string, tokens long, members array<struct<name:string,p:double>>")
 
 
-def fit_rates(members: DataFrame, targets: DataFrame) -> tuple[dict[str, dict], dict[str, list[dict[str, float]]]]:
-    """Plan and residual history of each mixture.
+class MixPlan:
+    """Goals and caps of the mixtures over all ``names`` of sources, and the steps of the descent so far.
 
-    The plan holds wanted tokens per source and ``max_repeats``; the history holds, for each round, the step
-    that a unit of membership in a source adds to a document's rate.
+    ``goals`` and ``caps`` have a row a mixture and a column a source; a source that a mixture does not list has a cap of -1.
     """
-    wanted: dict[str, dict] = {}
-    for r in targets.select("mix_name", source_name(F.col("source")).alias("source"), "target_share", "max_repeats").distinct().collect():
-        mix = wanted.setdefault(r["mix_name"], {"shares": {}, "max_repeats": {}})
-        mix["shares"][r["source"]] = mix["shares"].get(r["source"], 0.0) + float(r["target_share"])
-        mix["max_repeats"][r["source"]] = int(r["max_repeats"])
 
+    def __init__(self, mixes: list[str], names: list[str]):
+        self.mixes, self.names, self.place = mixes, names, {n: k for k, n in enumerate(names)}
+        self.goals = np.zeros((len(mixes), len(names)))
+        self.caps = np.full((len(mixes), len(names)), -1.0)
+        self.sizes = np.zeros(len(mixes))
+        self.residuals = np.zeros(len(mixes))
+        self.steps: list[np.ndarray] = []
+
+    def shares(self, members: pa.ListArray) -> np.ndarray:
+        """Membership of each document in each source."""
+        out = np.zeros((len(members), len(self.names)))
+        values = members.flatten()
+        column = np.array([self.place[n] for n in values.field(0).to_pylist()], np.int64)
+        row = np.repeat(np.arange(len(members)), members.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        out[row, column] = values.field(1).to_numpy()
+        return out
+
+    def rates(self, shares: np.ndarray) -> np.ndarray:
+        """A document's rate in each mixture: every step by its membership, each time projected to [0, its cap], the least one of the listed sources it belongs to."""
+        out = np.zeros((len(shares), len(self.mixes)))
+        belongs = shares > 0
+        for m in range(len(self.mixes)):
+            listed = self.goals[m] > 0
+            cap = np.where(belongs & (self.caps[m] >= 0), self.caps[m], np.inf).min(axis=1, initial=np.inf)
+            use = (belongs & listed).any(axis=1)
+            rate = np.zeros(len(shares))
+            for step in self.steps:
+                rate = np.clip(rate + shares @ step[m], 0.0, cap)
+            out[:, m] = np.where(use, rate, 0.0)
+        return out
+
+
+def fit_rates(members: DataFrame, targets: DataFrame) -> MixPlan:
+    """Fits the rates of all mixtures to their goals, one aggregation of the documents a round."""
+    asked = targets.select("mix_name", source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("double").alias("cap")).where("mix_name IS NOT NULL AND source IS NOT NULL").distinct().collect()
     # documents of equal membership share their rate: fold them
     folded = cut_lineage(members.groupBy("members").agg(F.sum("tokens").cast("double").alias("tokens")))
-    have = {r["name"]: r["tokens"] for r in folded.select(F.explode("members").alias("m"), "tokens").groupBy("m.name").agg(F.sum(F.col("m.p") * F.col("tokens")).alias("tokens")).collect()}
-    weight = {r["name"]: r["w"] for r in folded.select(F.explode("members").alias("m"), "tokens").groupBy("m.name").agg(F.sum(F.col("m.p") * F.col("m.p") * F.col("tokens")).alias("w")).collect()}
-    total = sum(have.values())
-    for mix in wanted.values():
-        usable = {s: share for s, share in mix["shares"].items() if share > 0 and have.get(s, 0.0) > 0}
-        scale = sum(usable.values())
-        size = min([total, *(mix["max_repeats"][s] * have[s] * scale / share for s, share in usable.items())]) if usable else 0.0
-        mix["tokens"] = {s: size * share / scale for s, share in usable.items()}
-        mix["size"] = size
-
-    steps: dict[str, list[dict[str, float]]] = {name: [] for name in wanted}
-    for _ in range(ROUNDS):
-        rates = folded.select("members", *[(F.col("tokens") * rate(mix, steps[name])).alias(f"r{i}") for i, (name, mix) in enumerate(wanted.items())])
-        sums = [F.sum(F.col(f"r{i}") * _probability(s)).alias(f"{i}.{j}") for i, mix in enumerate(wanted.values()) for j, s in enumerate(mix["tokens"])]
-        if not sums:
+    each = folded.select(F.explode("members").alias("m"), "tokens").groupBy("m.name").agg(F.sum(F.col("m.p") * F.col("tokens")).alias("tokens"), F.sum(F.col("m.p") * F.col("m.p") * F.col("tokens")).alias("weight")).collect()
+    names = sorted({r["name"] for r in each} | {r["source"] for r in asked})
+    plan = MixPlan(sorted({r["mix_name"] for r in asked}), names)
+    have, weight = np.zeros(len(names)), np.ones(len(names))
+    for r in each:
+        have[plan.place[r["name"]]], weight[plan.place[r["name"]]] = r["tokens"], max(r["weight"], 1e-9)
+    wanted = np.zeros_like(plan.goals)
+    for r in asked:
+        m, k = plan.mixes.index(r["mix_name"]), plan.place[r["source"]]
+        wanted[m, k] += r["share"] or 0.0
+        plan.caps[m, k] = max(plan.caps[m, k], r["cap"] or 0.0)
+    for m in range(len(plan.mixes)):
+        usable = (wanted[m] > 0) & (have > 0) & (plan.caps[m] > 0)
+        if usable.any():
+            share = wanted[m][usable] / wanted[m][usable].sum()
+            plan.sizes[m] = min(have.sum(), float((plan.caps[m][usable] * have[usable] / share).min()))
+            plan.goals[m][usable] = plan.sizes[m] * share
+    steps = np.where(plan.goals > 0, plan.goals / weight, 0.0)
+    for _ in range(MAX_ROUNDS):
+        plan.steps.append(steps)
+        gap = plan.goals - expected_tokens(folded, plan)
+        plan.residuals = np.abs(np.where(plan.goals > 0, gap, 0.0)).max(axis=1, initial=0.0) / np.maximum(plan.sizes, 1.0)
+        if (plan.residuals <= TOLERANCE).all():
             break
-        got = rates.agg(*sums).collect()[0]
-        for i, (name, mix) in enumerate(wanted.items()):
-            steps[name].append({s: (goal - (got[f"{i}.{j}"] or 0.0)) / weight[s] for j, (s, goal) in enumerate(mix["tokens"].items())})
-    return wanted, steps
+        steps = np.where(plan.goals > 0, gap / weight, 0.0)
+    return plan
 
 
-def _probability(source: str) -> Column:
-    return F.aggregate("members", F.lit(0.0), lambda acc, m: acc + F.when(m["name"] == source, m["p"]).otherwise(0.0))
-
-
-def rate(mix: dict, steps: list[dict[str, float]]) -> Column:
-    """A document's rate after the given rounds: steps by its membership, each projected to [0, its cap]."""
-    if not mix["tokens"]:
-        return F.lit(0.0)
-    members = F.col("members")
-    # the cap of a soft member is the least cap of its listed sources
-    caps = F.aggregate(members, F.lit(float(max(mix["max_repeats"].values()))), lambda acc, m: F.least(acc, _lookup(m["name"], {s: float(c) for s, c in mix["max_repeats"].items()}, float(max(mix["max_repeats"].values())))))
-    listed = F.exists(members, lambda m: m["name"].isin(list(mix["tokens"])))
-    rounds = F.array(*[F.create_map(*[x for s, v in step.items() for x in (F.lit(s), F.lit(float(v)))]) for step in steps]) if steps else None
-    if rounds is None:
-        return F.lit(0.0)
-    moved = F.aggregate(rounds, F.lit(0.0), lambda r, step: F.greatest(F.lit(0.0), F.least(caps, r + F.aggregate(members, F.lit(0.0), lambda acc, m: acc + m["p"] * F.coalesce(F.element_at(step, m["name"]), F.lit(0.0))))))
-    return F.when(listed, moved).otherwise(0.0)
+def expected_tokens(folded: DataFrame, plan: MixPlan) -> np.ndarray:
+    """Tokens of each mixture (row) and source (column) under the rates so far; only these sums come to the driver."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros_like(plan.goals)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                shares = plan.shares(part.column(0))
+                total += (plan.rates(shares) * part.column(1).to_numpy()[:, None]).T @ shares
+        m, k = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(k, pa.int64()), pa.array(total[m, k])], ["mix", "source", "tokens"])
 
-def _lookup(name: Column, values: dict[str, float], default: float) -> Column:
-    return reduce(lambda acc, item: F.when(name == item[0], item[1]).otherwise(acc), values.items(), F.lit(default))
+    out = np.zeros_like(plan.goals)
+    for r in folded.select("members", "tokens").mapInArrow(run, "mix long, source long, tokens double").groupBy("mix", "source").agg(F.sum("tokens").alias("tokens")).collect():
+        out[r["mix"], r["source"]] = r["tokens"]
+    return out
 
 
-def copies(members: DataFrame, wanted: dict[str, dict], steps: dict[str, list[dict[str, float]]]) -> DataFrame:
+def copies(members: DataFrame, plan: MixPlan) -> DataFrame:
     """``(mix_name, doc_id, source, tokens, copies)`` of the documents used in each mixture."""
-    if not wanted:
-        return members.select(F.lit("").alias("mix_name"), "doc_id", "source", "tokens", F.lit(0).alias("copies")).limit(0)
-    rates = F.array(*[F.struct(F.lit(name).alias("mix_name"), rate(mix, steps[name]).alias("rate")) for name, mix in wanted.items()])
-    rows = members.where("tokens > 0").select("doc_id", F.coalesce("source", F.element_at(F.transform(F.array_sort("members", lambda a, b: F.when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1).otherwise(0)), lambda m: m["name"]), 1)).alias("source"), "tokens", F.explode(rates).alias("r"))
-    rows = rows.select("doc_id", "source", "tokens", "r.mix_name", "r.rate").where("rate > 0")
+    kind = dict(members.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                shares = plan.shares(part.column("members"))
+                rates = plan.rates(shares)
+                row, mix = np.nonzero(rates > 0)
+                known, likely = part.column("source").to_pylist(), shares.argmax(axis=1)
+                source = [known[r] if known[r] is not None else plan.names[likely[r]] for r in row.tolist()]
+                index = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([plan.mixes[m] for m in mix.tolist()], pa.string()), part.column("doc_id").take(index), pa.array(source, pa.string()), part.column("tokens").take(index), pa.array(rates[row, mix])],
+                    ["mix_name", "doc_id", "source", "tokens", "rate"],
+                )
+
+    rows = members.where("tokens > 0").select("doc_id", "source", "tokens", "members").mapInArrow(run, f"mix_name string, doc_id {kind}, source string, tokens long, rate double")
     sizes = rows.groupBy("mix_name", "source").agg(F.count("*").alias("n"))
-    rows = rows.join(F.broadcast(sizes) if len(wanted) <= 1000 else sizes, ["mix_name", "source"])
+    rows = rows.join(sizes, ["mix_name", "source"])
     # systematic rounding along a bucket in the order of size: a document that loses its fraction is followed by one
     # of nearly the same size that gains it, so the token total stays near its expectation
     bucket = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_DOCUMENTS)))
@@ -233,20 +277,22 @@ def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     """The mixtures and a report of wanted and reached shares.
 
     Mixture: ``(mix_name, doc_id, source, tokens, copies)``. Report: ``(mix_name, source, target_share,
-    actual_share, tokens, documents, most_copies, max_repeats, available)``.
+    actual_share, tokens, documents, most_copies, max_repeats, available, fit_residual)``; the last is the distance
+    between expected and wanted tokens of the mixture that was left, as a share of its size.
     """
     members = cut_lineage(membership(documents, tokenizer))
-    wanted, steps = fit_rates(members, targets)
-    mixture = cut_lineage(copies(members, wanted, steps))
+    plan = fit_rates(members, targets)
+    mixture = cut_lineage(copies(members, plan))
+    left = members.sparkSession.createDataFrame([(m, float(r)) for m, r in zip(plan.mixes, plan.residuals, strict=True)], "mix_name string, fit_residual double")
     goals = targets.select("mix_name", source_name(F.col("source")).alias("source"), "target_share", "max_repeats").distinct().groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     reached = mixture.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     available = members.where("source IS NOT NULL").select("source").distinct().withColumn("available", F.lit(True))
-    report = goals.join(reached, ["mix_name", "source"], "full").join(available, "source", "left")
+    report = goals.join(reached, ["mix_name", "source"], "full").join(available, "source", "left").join(left, "mix_name", "left")
     report = report.withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     total = F.sum("tokens").over(Window.partitionBy("mix_name"))
     report = report.withColumn("actual_share", F.when(total > 0, F.col("tokens") / total).otherwise(0.0))
     return mixture, report.select(
-        "mix_name", "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.round("actual_share", 6).alias("actual_share"), "tokens", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats", F.coalesce("available", F.lit(False)).alias("available")
+        "mix_name", "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.round("actual_share", 6).alias("actual_share"), "tokens", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats", F.coalesce("available", F.lit(False)).alias("available"), F.round("fit_residual", 6).alias("fit_residual")
     )
 
 

@@ -26,7 +26,7 @@ def test_shares_and_caps(spark):
     for s in ("big", "small"):
         assert report["even", s]["actual_share"] == pytest.approx(0.5, abs=0.02)
     assert report["even", "small"]["most_copies"] <= 4 and report["even", "big"]["most_copies"] == 1
-    assert report["gone", "none"] | {} == {"mix_name": "gone", "source": "none", "target_share": 0.1, "actual_share": 0.0, "tokens": 0, "documents": 0, "most_copies": 0, "max_repeats": 2, "available": False}
+    assert report["gone", "none"] | {} == {"mix_name": "gone", "source": "none", "target_share": 0.1, "actual_share": 0.0, "tokens": 0, "documents": 0, "most_copies": 0, "max_repeats": 2, "available": False, "fit_residual": 0.0}
     assert report["gone", "big"]["actual_share"] == 1.0
     assert len({(m["mix_name"], m["doc_id"]) for m in mixture}) == len(mixture)
     assert {m["source"] for m in mixture} == {"big", "small"}
@@ -47,6 +47,27 @@ def test_classifier_on_held_out_documents():
     assert np.allclose(p.sum(1), 1)
 
 
+def test_descent_reaches_the_goals_with_soft_members(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(400):
+        p = float(rng.uniform(0.05, 0.95)) if k % 2 else float(k % 4 == 0)
+        rows.append((k, None if k % 2 else ("a" if p == 1.0 else "b"), int(rng.integers(50, 400)), [("a", p), ("b", 1 - p)]))
+    members = spark.createDataFrame(rows, "doc_id long, source string, tokens long, members array<struct<name:string,p:double>>")
+    plan = sm.fit_rates(members, spark.createDataFrame([("m", "a", 0.6, 3), ("m", "b", 0.4, 3)], T))
+    assert len(plan.steps) < sm.MAX_ROUNDS and plan.residuals[0] <= sm.TOLERANCE
+    mixture = {r["doc_id"]: r["copies"] for r in sm.copies(members, plan).collect()}
+    got = {name: sum(mixture.get(d, 0) * tokens * dict(m)[name] for d, _, tokens, m in rows) for name in "ab"}
+    assert got["a"] / sum(got.values()) == pytest.approx(0.6, abs=0.01)
+    assert max(mixture.values()) <= 3
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(sm, "MAX_SOURCES", 1)
+    with pytest.raises(ValueError):
+        run(spark, documents(20), [("m", "big", 1.0, 1)])
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [("m", "big", 1.0, 1)])[0] == []
     assert run(spark, documents(20), [])[0] == []
