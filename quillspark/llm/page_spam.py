@@ -46,9 +46,10 @@ LINK = r"<a\s[^<>]*>[^<]*</a>|\[[^\[\]\n]*\]\(https?://[^()\s]*\)|https?://[^\s<
 #: Three tags or more in a row.
 TAGS = r"(?:#[^\s#]+\s*){3,}"
 # Function words and predicates that clauses of these languages do not lack.
-_HAN_WORDS = "[的是为有和与及或但而则其这该呈着了被把将可能会应宜须于中时后若如未不无较见指且因占仍便已曾之者伴示含由从至等]|多见|多表现"
+_HAN_WORDS = "的是为有和与及或但而则其这该呈着了被把将可能会应宜须于中时后若如未不无较见指且因占仍便已曾之者伴示含由从至等"
 _LATIN_WORDS = "the of and is are was were in with to for that by on as at be this from which or not when has have der die das und ist sind im mit zu für den dem eine ein bei nach nicht auf als von oder am sich neben zwischen wie so nur auch le la les et est dans avec pour du des une un au par sur que qui ou pas en"
-_KANA = "[はがをにでのともた]"
+_KANA = "はがをにでのともた"
+_HAN_PREDICATES = "多表现"
 _OTHER_WORDS = "(?:^|\\s)(?:में|है|हैं|और|के|की|का|से|को|या|एक|पर|यह|तथा|न|नहीं|मिली|गया|गईं)(?:\\s|$)|ที่|และ|ใน|มี|จาก|กับ|ของ|เพื่อ|ว่า|เมื่อ|พบ|ให้|ควร"
 
 
@@ -167,30 +168,40 @@ def _size(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"(?U)\s+", ""))
 
 
-def missing_structure(text: Column) -> tuple[Column, Column]:
-    """Shares of a text's characters in links and tags, and in pieces without clause structure; null for blank texts."""
-    total = _size(text)
-    links = F.aggregate(F.regexp_extract_all(text, F.lit(f"({LINK})"), F.lit(1)), F.lit(0), lambda acc, x: acc + F.length(x))
-    rest = F.regexp_replace(F.regexp_replace(text, LINK, " \n"), r"<[^<>\n]*>", "\n")
-    tags = F.aggregate(F.regexp_extract_all(rest, F.lit(f"({TAGS})"), F.lit(1)), F.lit(0), lambda acc, x: acc + _size(x))
-    rest = F.regexp_replace(rest, TAGS, "\n")
-    lines = F.filter(F.split(rest, r"\r?\n"), lambda l: F.trim(l) != "")
-    piped = F.filter(lines, lambda l: l.rlike(r"^[^|]*(\|[^|]*){2,8}$"))
-    is_table = (F.size(piped) >= 3) & (F.size(F.filter(piped, lambda l: l.rlike(r"(^|\|)\s*[0-9][0-9.]*\s*%?\s*(\||$)"))) * 10 >= F.size(piped) * 6)
+def missing_structure(pages: DataFrame) -> DataFrame:
+    """Adds ``listed`` and ``bare``: shares of ``text`` in links and tags, and in pieces without clause structure; null for blank texts.
+
+    The steps are columns of their own, so that each is computed once a page.
+    """
+    text = F.col("text")
+    steps = pages.withColumn("total", _size(text)).withColumn("links", F.aggregate(F.regexp_extract_all(text, F.lit(f"({LINK})"), F.lit(1)), F.lit(0), lambda acc, x: acc + F.length(x)))
+    steps = steps.withColumn("rest", F.regexp_replace(F.when(F.col("links") > 0, F.regexp_replace(text, LINK, " \n")).otherwise(text), r"<[^<>\n]*>", "\n"))
+    steps = steps.withColumn("tags", F.aggregate(F.regexp_extract_all("rest", F.lit(f"({TAGS})"), F.lit(1)), F.lit(0), lambda acc, x: acc + _size(x)))
+    lines = F.filter(F.split(F.when(F.col("tags") > 0, F.regexp_replace("rest", TAGS, "\n")).otherwise(F.col("rest")), r"\r?\n"), lambda l: F.trim(l) != "")
+    steps = steps.withColumn("lines", lines)
+    is_row = lambda l: l.rlike(r"^[^|]*(\|[^|]*){2,8}$")
+    steps = steps.withColumn("piped", F.filter("lines", is_row))
+    is_table = (F.size("piped") >= 3) & (F.size(F.filter("piped", lambda l: l.rlike(r"(^|\|)\s*[0-9][0-9.]*\s*%?\s*(\||$)"))) * 10 >= F.size("piped") * 6)
 
     def structured(line: Column) -> Column:
         contents = line.rlike(r"(\.{3,}|…{2,}|·{3,}|_{3,})\s*[0-9ivxlIVXL]+\s*$")
         source = line.rlike(r"^\s*(\[[0-9]+\]|[0-9]+\.)\s.*\b(19|20)[0-9]{2}\b")
-        row = is_table & line.rlike(r"^[^|]*(\|[^|]*){2,8}$")
-        return contents | source | row
+        return contents | source
 
-    pieces = F.flatten(F.transform(F.filter(lines, lambda l: ~structured(l)), lambda l: F.split(l, r"[。！？!?]+|\.(?=\s|$)")))
+    prose = F.when(is_table, F.filter("lines", lambda l: ~is_row(l))).otherwise(F.col("lines"))
+    pieces = F.flatten(F.transform(F.filter(prose, lambda l: ~structured(l)), lambda l: F.split(l, r"[。！？!?]+|\.(?=\s|$)")))
     latin = _LATIN_WORDS.split()
-    words = F.lit(f"{_HAN_WORDS}|{_KANA}|{_OTHER_WORDS}")
-    count = lambda p: F.regexp_count(p, words) + F.size(F.filter(F.regexp_extract_all(p, F.lit(r"\p{L}+"), F.lit(0)), lambda w: w.isin(latin)))
+    measured = F.transform(pieces, lambda p: F.struct(F.lower(p).alias("low"), _size(p).alias("size")))
+
+    def count(p: Column) -> Column:
+        foreign = F.when(p.rlike("[ऀ-ॿ฀-๿]"), F.regexp_count(p, F.lit(_OTHER_WORDS))).otherwise(0)
+        words = F.when(p.rlike("[a-z]"), F.size(F.filter(F.regexp_extract_all(p, F.lit(r"\p{L}+"), F.lit(0)), lambda w: w.isin(latin)))).otherwise(0)
+        return F.regexp_count(p, F.lit(f"[{_HAN_WORDS}{_KANA}]")) + F.regexp_count(p, F.lit(_HAN_PREDICATES)) + foreign + words
+
     reach = lambda p: F.when(p.rlike("[一-鿿]"), SPARSE[0]).otherwise(SPARSE[1])
-    bare = F.aggregate(pieces, F.lit(0), lambda acc, p: acc + F.when(count(F.lower(p)) * reach(p) >= _size(p), 0).otherwise(_size(p)))
-    return F.when(total > 0, F.least(F.lit(1.0), (links + tags) / total)), F.when(total > 0, F.least(F.lit(1.0), bare / total))
+    bare = F.aggregate(measured, F.lit(0), lambda acc, p: acc + F.when((p["size"] == 0) | (count(p["low"]) * reach(p["low"]) >= p["size"]), 0).otherwise(p["size"]))
+    share = lambda n: F.when(F.col("total") > 0, F.least(F.lit(1.0), n / F.col("total")))
+    return steps.withColumn("listed", share(F.col("links") + F.col("tags"))).withColumn("bare", share(bare))
 
 
 def spam_scores(pages: DataFrame, above: float | None = None) -> DataFrame:
@@ -198,9 +209,7 @@ def spam_scores(pages: DataFrame, above: float | None = None) -> DataFrame:
     text = F.col("text")
     cjk = F.regexp_count(text, F.lit("[぀-ヿ㐀-䶿一-鿿]"))
     masked = F.regexp_replace(F.regexp_replace(text, "[0-9]+", "9"), r"(?U)\s+", " ")
-    # not by a test of the measure itself, which would then be computed twice
-    listed, bare = missing_structure(text)
-    rows = pages.where(text.rlike(r"(?U)\S")).select("doc_id", listed.alias("listed"), bare.alias("bare"), masked.alias("masked"), F.when(cjk * 10 >= F.length(text) * 3, 0).otherwise(1).alias("kind"))
+    rows = missing_structure(pages.where(text.rlike(r"(?U)\S")).select("doc_id", "text")).select("doc_id", "listed", "bare", masked.alias("masked"), F.when(cjk * 10 >= F.length(text) * 3, 0).otherwise(1).alias("kind"))
     judged = rows.mapInArrow(_coverage(above), "doc_id long, listed double, bare double, word_coverage double, phrase_coverage double, score double")
     return judged if above is None else judged.where(F.col("score") > above)
 
