@@ -1,10 +1,11 @@
-"""Session settings and the checkpoint folder."""
+"""Session settings, the checkpoint folder and joins with small sides."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "quillspark", master: str | None = None, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -30,7 +31,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
 
 
@@ -38,3 +43,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Broadcast in joins if there are no more than ``rows`` rows; counts them first, so give it narrow and cheap frames."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
