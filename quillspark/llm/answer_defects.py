@@ -177,26 +177,38 @@ def clauses_of(text: str) -> Iterator[tuple[str, list[str], bool, bool]]:
                 yield p, clause_keys(p, s, n + 1, latin), final and done, final and last and not done
 
 
-def _clauses(kind: str):
-    """For ``stats`` one row per clause end and key; for ``open`` the keys of each answer's last clause, if it has no end mark."""
+def _unit(kind: str, text: str) -> str:
+    return kind + " " + re.sub(r"[\W_]+$", "", text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ends, ids = [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                for _, names, at_end, cut_off in clauses_of(text):
-                    if kind == "stats" and not cut_off:
-                        keys.extend(names)
-                        ends.extend([int(at_end)] * len(names))
-                    elif kind == "open" and cut_off:
-                        keys.extend(names)
-                        ids.extend([r] * len(names))
-            if kind == "stats":
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ends, pa.int64())], ["key", "at_end"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(keys, pa.string())], ["answer_id", "key"])
 
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(key, at_end)``: a row for each clause end and statistic, for each clause (``c``) and for each whole answer (``w``), without marks at their ends."""
+    for batch in batches:
+        keys, ends = [], []
+        for text, ending in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            keys.append(_unit("w", text))
+            ends.append(int(ending != "open"))
+            for p, names, at_end, cut_off in clauses_of(text):
+                if not cut_off:
+                    keys.extend(names)
+                    ends.extend([int(at_end)] * len(names))
+                keys.append(_unit("c", _masked(p)))
+                ends.append(int(at_end))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ends, pa.int64())], ["key", "at_end"])
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(answer_id, key)`` of the last clause of each answer without an end mark, and of the answer as a whole."""
+    for batch in batches:
+        keys, ids = [], []
+        for r, text in enumerate(batch.column(1).to_pylist()):
+            mine = [_unit("w", text)]
+            for p, names, _, cut_off in clauses_of(text):
+                if cut_off:
+                    mine += [*names, _unit("c", _masked(p))]
+            keys.extend(mine)
+            ids.extend([r] * len(mine))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(keys, pa.string())], ["answer_id", "key"])
 
 
 def _broken_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,24 +231,8 @@ def is_term(text: Column) -> Column:
     return ~text.rlike(r"[，；、：;:\n]|,(?=\s|$)") & ~low.rlike(f"{_FUNCTION_HAN}|{_FUNCTION_HINDI}|{latin}")
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(unit, ended, answer_id)``: whole answers and clauses, without marks at their ends; the id where an open answer breaks off with the unit."""
-    for batch in batches:
-        units, ended, ids = [], [], []
-        for answer, text, ending in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            is_open = ending == "open"
-            units.append("w " + re.sub(r"[\W_]+$", "", text))
-            ended.append(int(not is_open))
-            ids.append(answer if is_open else None)
-            for p, _, at_end, cut_off in clauses_of(text):
-                units.append("c " + re.sub(r"[\W_]+$", "", _masked(p)))
-                ended.append(int(at_end))
-                ids.append(answer if cut_off and is_open else None)
-        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(ended, pa.int64()), pa.array(ids, pa.int64())], ["unit", "ended", "answer_id"])
-
-
 def continued(units: DataFrame) -> DataFrame:
-    """Every ``unit`` of the distinct units that its successor in sorted order continues.
+    """Every ``unit`` of the distinct ones that its successor in sorted order continues.
 
     Of all units that begin with a given one, if there are any, one follows it directly.
     """
@@ -255,7 +251,7 @@ def continued(units: DataFrame) -> DataFrame:
         if first is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([last], pa.string()), pa.array([first], pa.string())], ["part", "unit", "first"])
 
-    seen = units.select("unit").distinct().orderBy("unit").mapInArrow(run, "part int, unit string, first string")
+    seen = units.orderBy("unit").mapInArrow(run, "part int, unit string, first string")
     # one row a partition that holds any unit
     edges = seen.where("first IS NOT NULL").withColumn("next", F.lead("first").over(Window.orderBy("part")))
     return seen.where("first IS NULL").select("unit").union(edges.where("startswith(next, unit)").select("unit"))
@@ -276,18 +272,17 @@ def analyse(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ending = cut_lineage(texts.mapInArrow(_broken_off, "answer_id long, text string, ending string"))
     texts = ending.select("answer_id", "text")
     # answers that certainly broke off say nothing about how sentences end
-    stats = ending.where("ending != 'broken'").select("answer_id", "text").mapInArrow(_clauses("stats"), "key string, at_end long").groupBy("key").agg(F.sum("at_end").alias("ends"), F.count("*").alias("n"))
+    stats = cut_lineage(ending.where("ending != 'broken'").mapInArrow(_counted, "key string, at_end long").groupBy("key").agg(F.sum("at_end").alias("ends"), F.count("*").alias("n")))
     still_open = ending.where((F.col("ending") == "open") & ~is_term(F.col("text"))).select("answer_id", "text")
-    keys = still_open.mapInArrow(_clauses("open"), "answer_id long, key string").join(stats, "key", "left")
+    keys = cut_lineage(still_open.mapInArrow(_looked_up, "answer_id long, key string").join(stats, "key", "left"))
     n = {k: F.coalesce(F.max(F.when(F.startswith("key", F.lit(k + ":")), F.col("n"))), F.lit(0)) for k in ("e3", "e2", "e1", "c", "f")}
     ends = {k: F.coalesce(F.max(F.when(F.startswith("key", F.lit(k + ":")), F.col("ends"))), F.lit(0)) for k in n}
     seen = keys.groupBy("answer_id").agg(*[v.alias("n_" + k) for k, v in n.items()], *[v.alias("ends_" + k) for k, v in ends.items()])
     by_suffix = F.when(F.col("n_e3") >= 3, F.col("ends_e3") * 50 < F.col("n_e3")).when(F.col("n_e2") >= 3, F.col("ends_e2") * 50 < F.col("n_e2")).otherwise(F.col("ends_e1") * 50 <= F.col("n_e1"))
     never = seen.where(by_suffix | ((F.col("n_c") >= 20) & (F.col("ends_c") == 0)) | ((F.col("n_f") >= 20) & (F.col("ends_f") == 0)))
     spiked = still_open.join(length_spikes(still_open), F.length("text") == F.col("size"), "left_semi")
-    units = ending.where("ending != 'broken'").select("answer_id", "text", "ending").mapInArrow(_units, "unit string, ended long, answer_id long")
-    shortened = continued(units).join(units.groupBy("unit").agg(F.sum("ended").alias("ended")).where("ended = 0"), "unit", "left_semi")
-    shorter = units.where("answer_id IS NOT NULL").join(shortened, "unit", "left_semi").select("answer_id").distinct()
+    shortened = continued(stats.where("substring(key, 2, 1) = ' '").select(F.col("key").alias("unit")))
+    shorter = keys.where("ends = 0").join(shortened, F.col("key") == F.col("unit"), "left_semi").select("answer_id").distinct()
     # a clause that no sentence ended with so far may still be a whole one, if its last words often end sentences
     shorter = shorter.join(seen, "answer_id").where(F.col("ends_e1") * 4 < F.greatest(F.col("n_e1"), F.lit(4)))
     rules = {"broken": ending.where("ending = 'broken'"), "neighbour": shorter, "spike": spiked, "statistics": never}
