@@ -3,20 +3,22 @@
 The contents are split into lines, the lines are classified, and windows over each document's lines
 connect a line with the running text before and after it:
 
-* headers: a line that equals, but for one damaged character, lost or widened spaces, letter case or a
-  cut end, a title of its document or a book title, or that has the form of a chapter or section title;
+* headers: digits and numerals of short lines are masked; a masked line is a header if it recurs in ``RECURS`` documents
+  or more between ever different lines (copies of one document share their lines' neighbours), or if it is, but for
+  one damaged character, lost or widened spaces, letter case or a cut end, a title of a document or of a book;
 * page numbers: lines whose digits (after undoing digit look-alikes) give the page or one of the next;
 * cut words: the parts on both sides of a mark at a line end, joined with and without a hyphen, are
   looked up in the vocabulary of the reference texts; the more frequent form wins;
 * misread characters: words are grouped by a skeleton in which confusable glyphs coincide; a form that
-  the reference texts hardly have, in a group that has a frequent form, is misread. Han characters have
-  no words between spaces, so there the unit is the character with its two neighbours.
+  the reference texts hardly have, in a group that has a frequent form, is misread, and so is a form that they never have
+  between its neighbours where they have another of the group; the form with most support from its neighbours replaces it. Han characters
+  are grouped by confusable glyphs as well; they have no words between spaces, so there the unit is the glyph with its two neighbours.
 
 Reference texts are the contents of the collections that do not come from scanned pages.
 
 Scale: only scanned contents are exploded into lines; vocabularies are aggregated on the map side and
-joined as distributed tables; windows are partitioned by document. Nothing is collected but the book
-titles, of a table with a fixed size (``MAX_BOOKS`` is checked).
+joined as distributed tables; windows are partitioned by document. Titles and recurring lines meet the lines in an equi-join on
+halves of their masked forms, of which one stays intact if one character is damaged. Nothing is collected.
 
 Edge cases: null contents give no lines, empty contents one blank line; a document without titles or
 page number is judged by form alone; repeated rows count once; other columns are ignored.
@@ -33,22 +35,22 @@ from quillspark.session import cut_lineage
 from quillspark.sources.tables import table
 
 SCANNED = "atlas_scan"
-MAX_BOOKS = 5000
-
-# Han characters and the glyphs they are misread as.
-HAN_MISREADINGS = "胞胸 核孩 质庆 液夜 腺膝 织只 片爿 巴已 右石 大太 性牲 戒戎 议仪 气乞 梭棱 鳞磷 毛手 色巴 粒拉 本木 直真 景影 未末 入人 日曰 土士 干千 己已 侧测 处外 各名 若苦 间问 圆园 状壮 染柒"
-#: 肺 falls apart into these two; some words really hold them in a row.
-SPLIT_GLYPH = "月市(?![场面值区])"
+#: A masked line that stands in so many documents between different lines is a running header.
+RECURS = 4
+#: Larger tables of forms are joined by shuffle.
+BROADCAST_ROWS = 50_000
+
+# Han glyphs that are taken for each other, and glyphs that fall apart into two.
+HAN_CONFUSABLE = "胞胸 核孩 质庆 液夜 腺膝 织只 片爿 巴已色己 右石 大太 性牲 戒戎 议仪 气乞 梭棱 鳞磷 毛手 粒拉 本木未末 直真 景影 入人 日曰 土士 干千 侧测 处外 各名 若苦 间问 圆园 状壮 染柒"
+HAN_SPLITS = {"肺": "月市"}
 #: Glyphs that stand for an unreadable character.
 UNREADABLE = "□◇■�囗"
 #: Marks that a cut leaves at the end of a line.
 CUT_MARKS = "-­‐¬"
 
-_WRONG: dict[str, list[str]] = {}
-for _pair in HAN_MISREADINGS.split():
-    _WRONG.setdefault(_pair[1], []).append(_pair[0])
-_WRONG_CLASS = "[" + "".join(_WRONG) + "]"
-_ANY_CLASS = "[" + "".join(sorted(set(HAN_MISREADINGS) - {" "})) + "]"
+_GROUPS = HAN_CONFUSABLE.split()
+_ANY_CLASS = "[" + "".join(_GROUPS) + "".join(HAN_SPLITS) + "]"
+_GLYPH = "(?:[" + "".join(_GROUPS) + "]|" + "|".join(HAN_SPLITS.values()) + ")"
 _WORD = r"[a-z0-9]+(?:[.'/][a-z0-9]+)*"
 
 
@@ -78,46 +80,84 @@ def _number(c: Column) -> Column:
 
 
 def reference_counts(texts: DataFrame) -> DataFrame:
-    """``(key, n)``: words, hyphenated neighbours and Han characters with both neighbours, over the ``content`` of ``texts``."""
+    """``(key, n)``: words, neighbouring words, hyphenated neighbours and Han glyphs with both neighbours, over the ``content`` of ``texts``."""
     low = F.lower(F.col("content"))
-    keys = F.concat(
-        F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)),
-        F.regexp_extract_all(low, F.lit(r"(?=\b([a-z]+-[a-z]+))"), F.lit(1)),
-        F.regexp_extract_all(F.regexp_replace(F.col("content"), r"(?U)\s+", ""), F.lit(f"(?=(.{_ANY_CLASS}.))"), F.lit(1)),
-    )
-    return texts.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    flat = F.regexp_replace(F.col("content"), r"(?U)\s+", "")
+    rows = texts.select(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("words"), F.regexp_extract_all(low, F.lit(r"(?=\b([a-z]+-[a-z]+))"), F.lit(1)).alias("hyphenated"), F.regexp_extract_all(flat, F.lit(f"(?=(.{_ANY_CLASS}.))"), F.lit(1)).alias("glyphs"), F.regexp_extract_all(flat, F.lit(f"(?=(.(?:{'|'.join(HAN_SPLITS.values())}).))"), F.lit(1)).alias("splits"))
+    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    keys = F.concat("words", F.filter(pairs, lambda p: p.isNotNull()), "hyphenated", "glyphs", "splits")
+    return rows.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def masked(title: Column) -> Column:
+    """Squeezed, with digits and Chinese numerals masked."""
+    return F.regexp_replace(F.regexp_replace(squeezed(title), "[0-9０-９]+", "9"), "第[一二三四五六七八九十百零9]+", "第9")
+
 
+def title_forms(records: DataFrame, toc: DataFrame) -> DataFrame:
+    """``form``: titles of the records and of the books, masked and as they are (a damaged first character keeps a numeral from being masked)."""
+    names = [records.select(F.col(c).alias("title")) for c in ("chapter_title", "section_title")] + [toc.select(F.col(c).alias("title")) for c in ("book_title", "chapter_title", "section_title")]
+    return reduce(DataFrame.union, names).where("title IS NOT NULL").distinct().select(F.explode(F.array_distinct(F.array(masked(F.col("title")), squeezed(F.col("title"))))).alias("form")).where("form != ''").distinct()
 
-def classify_lines(records: DataFrame, book_titles: list[str]) -> DataFrame:
+
+def recurring_forms(lines: DataFrame) -> DataFrame:
+    """``form``: masked lines without an end mark that stand in ``RECURS`` documents or more, each time between other lines.
+
+    At least a quarter of them show a page number or stand beside one; a line of prose that recurs by its wording does not.
+    """
+    slim = lines.select("doc_id", "line_no", F.xxhash64("s").alias("s"), "is_number", (F.col("beside") != "").alias("numbered"), F.when(F.col("may_recur"), F.col("form")).alias("form"))
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    paged = F.coalesce(F.lag("is_number").over(w), F.lit(False)) | F.coalesce(F.lead("is_number").over(w), F.lit(False)) | F.col("numbered")
+    short = slim.withColumn("above", F.lag("s").over(w)).withColumn("below", F.lead("s").over(w)).withColumn("paged", paged.cast("int")).where("form IS NOT NULL")
+    seen = short.groupBy("form", "doc_id", "above", "below").agg(F.max("paged").alias("paged"))
+    seen = seen.groupBy("form").agg(*[F.count_distinct(c).alias(c) for c in ("doc_id", "above", "below")], F.avg("paged").alias("paged"))
+    return seen.where((F.col("doc_id") >= RECURS) & (F.col("above") >= RECURS) & (F.col("below") >= RECURS) & (F.col("paged") >= 0.25)).select("form")
+
+
+def _same_title(line: Column, title: Column) -> Column:
+    """Whether a masked line is the masked title, maybe with one damaged character or a cut end."""
+    n, m = F.length(line), F.length(title)
+    near = (n >= 4) & (F.abs(n - m) <= 1) & (F.levenshtein(line, title) <= 1)
+    cut = (n >= 3) & (n <= m + 1) & line.endswith("…") & (F.levenshtein(F.substring(title, F.lit(1), n - 1), F.substring(line, F.lit(1), n - 1)) <= F.when(n > 6, 1).otherwise(0))
+    return (m > 0) & ((line == title) | near | cut)
+
+
+def header_lines(forms: DataFrame, titles: DataFrame) -> DataFrame:
+    """The distinct line forms that are one of the titles; they meet by a half that one damaged character leaves intact."""
+    tag = lambda kind, c: F.xxhash64(F.lit(kind), c)
+    m, n = F.length("title"), F.length("form")
+    half = F.floor(m / 2).cast("int")
+    prefixes = F.transform(F.sequence(F.lit(1), m), lambda k: tag("cut:", F.substring("title", F.lit(1), k)))
+    keys = F.concat(F.array(tag("left:", F.substring("title", F.lit(1), half)), tag("right:", F.substring("title", half + 1, m))), prefixes)
+    known = titles.select(F.col("form").alias("title")).select("title", F.explode(F.array_distinct(keys)).alias("key"))
+    sizes = F.array(n - 1, n, n + 1)
+    left = F.transform(sizes, lambda k: tag("left:", F.substring("form", F.lit(1), F.floor(k / 2).cast("int"))))
+    right = F.transform(sizes, lambda k: tag("right:", F.substring("form", F.greatest(n - (k - F.floor(k / 2).cast("int")) + 1, F.lit(1)), n)))
+    # the part before a cut end: its first half, or as a whole where it is too short for a damaged character
+    start = F.when(n - 1 > 6, F.floor((n - 1) / 2).cast("int")).otherwise(n - 1)
+    mine = F.when(F.col("form").endswith("…") & (n > 2), F.array(tag("cut:", F.substring("form", F.lit(1), start)))).otherwise(F.array().cast("array<long>"))
+    asked = forms.select("form", F.explode(F.array_distinct(F.concat(left, right, mine))).alias("key"))
+    return asked.join(known, "key").where(_same_title(F.col("form"), F.col("title"))).select("form").distinct()
+
+
+def classify_lines(records: DataFrame, titles: DataFrame) -> DataFrame:
     """One row per line of the scanned records, with its kind and the running text around it."""
     lines = records.select("doc_id", "page_number", "chapter_title", "section_title", F.posexplode(F.split("content", "\n")).alias("pos", "raw"))
     s = F.btrim(F.regexp_replace(F.col("raw"), "[\\r ]", ""), F.lit(" \t　"))
     core = F.regexp_replace(s, r"^[※◆|·•◇■□\s]+|[※◆|·•\s]+$", "")
-    lines = lines.select("doc_id", "page_number", F.col("pos").alias("line_no"), F.regexp_replace("raw", "\\r", "").alias("line"), s.alias("s"), core.alias("core"), squeezed(F.coalesce("chapter_title", F.lit(""))).alias("t1"), squeezed(F.coalesce("section_title", F.lit(""))).alias("t2"))
+    lines = lines.select("doc_id", "page_number", F.col("pos").alias("line_no"), F.regexp_replace("raw", "\\r", "").alias("line"), s.alias("s"), core.alias("core"), *[f(F.coalesce(t, F.lit(""))).alias(k) for k, f, t in (("t1", masked, "chapter_title"), ("t2", masked, "section_title"), ("t3", squeezed, "chapter_title"), ("t4", squeezed, "section_title"))])
     lines = lines.withColumn("line_no", F.col("line_no") + 1)
 
     glyph = "[0-9０-９lIOo]"
     before, after = rf"^({glyph}{{1,4}})\s{{2,}}(?=\S)", rf"(?:\s{{2,}}|\s*·\s*)({glyph}{{1,4}})$"
     rest = F.regexp_replace(F.regexp_replace("core", before, ""), after, "")
-    lines = lines.withColumn("h0", squeezed(F.col("core"))).withColumn("h", squeezed(F.regexp_replace(rest, r"[※◆|·•\s]+$", "")))
+    lines = lines.withColumn("form0", masked(F.col("core"))).withColumn("form", masked(F.regexp_replace(rest, r"[※◆|·•\s]+$", "")))
     lines = lines.withColumn("beside", F.concat(F.regexp_extract("core", before, 1), F.regexp_extract("core", after, 1)))
 
     plausible = (F.length("core").between(3, 160)) & ~F.col("s").rlike(r"^#{1,6}\s") & ~F.col("core").rlike("[。；！？;!?]")
-    books = F.array(*[F.lit(squeezed_literal(t)) for t in book_titles]) if book_titles else F.array().cast("array<string>")
-
-    def same(h: Column, t: Column) -> Column:
-        n, m = F.length(h), F.length(t)
-        near = (n >= 4) & (F.abs(n - m) <= 1) & (F.levenshtein(h, t) <= 1)
-        cut = (n >= 3) & (n <= m + 1) & h.endswith("…") & (F.levenshtein(F.substring(t, F.lit(1), n - 1), F.substring(h, F.lit(1), n - 1)) <= F.when(n > 6, 1).otherwise(0))
-        return (m > 0) & ((h == t) | near | cut)
-
-    own = reduce(lambda a, b: a | b, [same(F.col(h), F.col(t)) for h in ("h", "h0") for t in ("t1", "t2")])
-    longest = max((len(squeezed_literal(t)) for t in book_titles), default=0)
-    # only lines short enough for a book title are held against all of them
-    book = F.when(F.least(F.length("h"), F.length("h0")) <= longest + 1, F.exists(books, lambda t: same(F.col("h"), t) | same(F.col("h0"), t))).otherwise(False)
-    named = own | book
-    shaped = F.col("h").rlike("^(第[一二三四五六七八九十百零0-9]+[章节].|(chapter|section)[0-9]+i?[a-z])") & rest.rlike("^(第|(?i:chapter|section)\\s*[0-9])") & ~F.col("core").rlike("[，,：:]")
-    lines = lines.withColumn("is_header", plausible & (named | shaped))
+    lines = lines.withColumn("plausible", plausible)
+    own = reduce(lambda a, b: a | b, [_same_title(F.col(h), F.col(t)) for h in ("form", "form0") for t in ("t1", "t2", "t3", "t4")])
+    lines = lines.withColumn("own_title", own)
 
     bare = F.col("core").rlike(rf"^{glyph}{{1,4}}$") & F.col("core").rlike(r"[0-9０-９]|^[lIO]{2,4}$")
     marks = r"\s\-—–·•.|\[\]〔〕()（）【】※◆"
@@ -126,6 +166,17 @@ def classify_lines(records: DataFrame, book_titles: list[str]) -> DataFrame:
     near = (F.col("shown") >= F.col("page_number") - 1) & (F.col("shown") <= F.col("page_number") + 3)
     plain = F.col("s").rlike("^[0-9]{1,6}$")
     lines = lines.withColumn("is_number", F.col("s").rlike(r"^[0-9.,]{1,8}$") | bare | dressed).withColumn("shown", F.when(F.col("is_number"), shown)).withColumn("plain", plain)
+    # a header of no title: no end mark, no clause mark
+    recurs = ~F.col("is_number") & ~F.col("core").rlike(r"[,，:：]|、$|\.(\s|$)") & (F.length("form") >= 4)
+    open_line = F.col("plausible") & ~F.col("own_title")
+    lines = lines.withColumn("may_recur", open_line & recurs).withColumn("form", F.when(open_line, F.col("form"))).withColumn("form0", F.when(open_line & (F.col("form0") != F.col("form")), F.col("form0")))
+    lines = cut_lineage(lines.drop("core", "t1", "t2", "t3", "t4"))
+    forms = lines.where("form IS NOT NULL").select("doc_id", "line_no", F.explode(F.array_compact(F.array("form", "form0"))).alias("form"))
+    asked = forms.select("form").distinct()
+    found = header_lines(asked, titles.union(recurring_forms(lines)).distinct())
+    named = forms.join(found, "form", "left_semi").select("doc_id", "line_no").groupBy("doc_id").agg(F.collect_set("line_no").alias("named"))
+    # by document, as the windows below are partitioned
+    lines = lines.join(named, "doc_id", "left").withColumn("is_header", F.col("plausible") & (F.col("own_title") | F.coalesce(F.array_contains("named", F.col("line_no")), F.lit(False))))
     ahead = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
     behind = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     solid = (F.col("s") != "") & ~F.col("is_header") & ~F.col("is_number")
@@ -143,10 +194,6 @@ def classify_lines(records: DataFrame, book_titles: list[str]) -> DataFrame:
     return lines.select("doc_id", "line_no", "line", "s", "is_header", "is_page", "page_beside", "is_heading", "is_number", "is_text", "before", "after")
 
 
-def squeezed_literal(title: str) -> str:
-    return "".join(title.split()).lower()
-
-
 _LEFT = rf"([\p{{L}}\p{{M}}\p{{N}}-]*\p{{L}})[{CUT_MARKS}]\s*$"
 _RIGHT = r"^([\p{L}][\p{L}\p{M}\p{N}-]*)"
 
@@ -157,7 +204,7 @@ def cut_words(lines: DataFrame, counts: DataFrame) -> DataFrame:
     ends = ends.where("whole_left != '' AND mark != ''")
     ends = ends.withColumn("left", F.element_at(F.split("whole_left", "-"), -1)).withColumn("right", F.element_at(F.split("whole_right", "-"), 1))
     ends = ends.withColumn("joined", F.lower(F.concat("left", "right"))).withColumn("compound", F.lower(F.concat_ws("-", "left", "right")))
-    by_skeleton = counts.where(F.col("key").rlike("^[a-z0-9]")).groupBy(skeleton(F.col("key")).alias("skel")).agg(F.max(F.struct("n", "key")).alias("best"))
+    by_skeleton = counts.where(F.col("key").rlike("^[a-z0-9][^ ]*$")).groupBy(skeleton(F.col("key")).alias("skel")).agg(F.max(F.struct("n", "key")).alias("best"))
     keys = ends.select("joined", "compound").distinct()
     looked = (
         keys.withColumn("skel", skeleton(F.col("joined"))).join(by_skeleton.select("skel", F.col("best.n").alias("n_joined"), F.col("best.key").alias("best_joined")), "skel", "left").drop("skel")
@@ -172,7 +219,7 @@ def cut_words(lines: DataFrame, counts: DataFrame) -> DataFrame:
 
 def misread_words(lines: DataFrame, cuts: DataFrame, counts: DataFrame) -> DataFrame:
     """``(doc_id, line_no, wrong, right)`` of misread Latin words of running text."""
-    known = counts.where(F.col("key").rlike("^[a-z0-9]") & ~F.col("key").contains("-"))
+    known = counts.where(F.col("key").rlike("^[a-z0-9][^ -]*$"))
     best = known.select("key", "n", F.explode(skeletons(F.col("key"))).alias("skel")).groupBy("skel").agg(F.max(F.struct("n", "key")).alias("best"))
     starts = cuts.where("is_cut").select("doc_id", F.col("next_no").alias("line_no"), "whole_right").where("line_no IS NOT NULL")
     ends = cuts.where("is_cut").select("doc_id", "line_no", "whole_left")
@@ -182,7 +229,10 @@ def misread_words(lines: DataFrame, cuts: DataFrame, counts: DataFrame) -> DataF
     body = F.when(F.col("whole_left").isNotNull(), F.regexp_replace(F.col("s"), tail, F.lit(""))).otherwise(F.col("s"))
     head = F.concat(F.lit("^"), F.element_at(F.split("whole_right", "-"), 1))
     body = F.when(F.col("whole_right").isNotNull() & (F.col("whole_right") != ""), F.regexp_replace(body, head, F.lit(""))).otherwise(body)
-    words = text.select("doc_id", "line_no", F.explode(F.regexp_extract_all(body, F.lit(_WORD.replace("a-z", "A-Za-z")), F.lit(0))).alias("wrong")).where(F.col("wrong").rlike("[A-Za-z]"))
+    found = text.select("doc_id", "line_no", F.regexp_extract_all(body, F.lit(_WORD.replace("a-z", "A-Za-z")), F.lit(0)).alias("w"))
+    at = lambda k: F.lower(F.coalesce(F.get("w", k), F.lit("")))
+    spots = F.transform("w", lambda w, k: F.struct(at(k - 1).alias("before"), w.alias("wrong"), at(k + 1).alias("after")))
+    words = cut_lineage(found.select("doc_id", "line_no", F.explode(spots).alias("x")).select("doc_id", "line_no", "x.*").where(F.col("wrong").rlike("[A-Za-z]")))
     cut = cuts.where("is_cut").select(F.lower("joined").alias("wrong")).distinct()
     forms = words.select("wrong").union(cut).distinct().withColumn("key", F.lower("wrong"))
     # a capital I inside a lower-case word is a misread l, whatever the vocabulary says of the lower-cased word
@@ -194,36 +244,67 @@ def misread_words(lines: DataFrame, cuts: DataFrame, counts: DataFrame) -> DataF
     # numbers vary too much for a vocabulary: letters that look like digits among digits
     numbers = owned.where(F.col("wrong").rlike(r"^(?=.*[0-9])(?=.*[OlI])[0-9OlI]{2,}(\.[0-9OlI]+)*$|^[0-9OlI]+\.[0-9OlI]+$") & F.col("wrong").rlike("[OlI]") & F.col("n_own").isNull()).select("wrong", F.translate("wrong", "OlI", "011").alias("right"))
     judged = judged.union(numbers).groupBy("wrong").agg(F.max("right").alias("right"))
-    whole = words.join(judged, "wrong").select("doc_id", "line_no", "wrong", "right")
+    whole = words.join(chosen_by_neighbours(words, owned, judged, known, counts), ["before", "wrong", "after"]).select("doc_id", "line_no", "wrong", "right")
     parts = cuts.where("is_cut").select("doc_id", "line_no", "next_no", F.lower("left").alias("l"), F.lower("right").alias("r"), F.lower("joined").alias("wrong")).join(judged, "wrong")
     left = parts.where("NOT startswith(right, l)").select("doc_id", "line_no", "wrong", "right")
     right = parts.where("NOT endswith(right, r) AND next_no IS NOT NULL").select("doc_id", F.col("next_no").alias("line_no"), "wrong", "right")
     return whole.union(left).union(right)
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """Broadcast in joins if there are no more than ``BROADCAST_ROWS`` of the (written) rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def chosen_by_neighbours(words: DataFrame, owned: DataFrame, judged: DataFrame, known: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(before, wrong, after, right)``: what stands between its neighbours by mistake and the form of its skeleton that they support most.
+
+    A form that is misread anyway (``judged``) is replaced by the supported form, or else by the most frequent one. Another known
+    form counts as misread only if the reference texts never have it beside either neighbour, but the other form beside each.
+    """
+    forms = known.where("n >= 3").select(F.col("key").alias("y"), F.col("n").alias("n_y"), F.explode(skeletons(F.col("key"))).alias("skel"))
+    rivals = owned.where(F.col("n_own").isNotNull()).select("wrong", "key", F.explode(skeletons(F.col("wrong"))).alias("skel")).join(forms, "skel").where("y != key").select("wrong", "y", "n_y")
+    usual = judged.select("wrong", F.col("right").alias("usual"))
+    pool = usual.join(owned.select("wrong", F.explode(skeletons(F.col("wrong"))).alias("skel")), "wrong").join(forms, "skel").where("y != lower(wrong)").select("wrong", "y", "n_y")
+    pool = pool.union(usual.select("wrong", F.col("usual").alias("y"), F.lit(0).cast("long").alias("n_y"))).union(rivals).groupBy("wrong", "y").agg(F.max("n_y").alias("n_y"))
+    pool = small(cut_lineage(pool))
+    asked = words.select("before", "wrong", "after").join(pool, "wrong").distinct()
+    low = F.lower("wrong")
+    roles = F.array(*[F.struct(F.lit(name).alias("role"), F.concat_ws(" ", a, b).alias("key")) for name, a, b in (("bx", F.col("before"), low), ("xa", low, F.col("after")), ("by", F.col("before"), F.col("y")), ("ya", F.col("y"), F.col("after")))])
+    pairs = counts.where(F.contains("key", F.lit(" ")))
+    looked = asked.select("before", "wrong", "after", "y", "n_y", F.explode(roles).alias("q")).select("before", "wrong", "after", "y", "n_y", "q.role", "q.key").join(pairs, "key", "left")
+    n = {role: F.coalesce(F.max(F.when(F.col("role") == role, F.col("n"))), F.lit(0)) for role in ("bx", "xa", "by", "ya")}
+    seen = looked.groupBy("before", "wrong", "after", "y", "n_y").agg(*[c.alias(role) for role, c in n.items()]).join(usual, "wrong", "left")
+    only = (F.col("bx") == 0) & (F.col("xa") == 0) & (F.col("by") >= 2) & (F.col("ya") >= 2)
+    kept = seen.where(F.col("usual").isNotNull() | only)
+    support = F.struct((F.col("by") + F.col("ya")).alias("a"), (F.col("y") == F.coalesce("usual", F.lit(""))).alias("b"), F.col("n_y").alias("c"), F.col("y").alias("d"))
+    return small(cut_lineage(kept.groupBy("before", "wrong", "after").agg(F.max(support).alias("best")).select("before", "wrong", "after", F.col("best.d").alias("right"))))
+
+
 def misread_han(lines: DataFrame, counts: DataFrame) -> DataFrame:
     """``(doc_id, line_no, wrong, right)``: a Han character between its neighbours, as it is and as it should be."""
     flat = F.regexp_replace("s", r"(?U)\s+", "")
     context = F.concat(F.coalesce(F.expr("right(regexp_replace(before, '\\\\s+', ''), 1)"), F.lit("^")), flat, F.coalesce(F.expr("left(after.s, 1)"), F.lit("$")))
     seen = lines.where("is_text").select("doc_id", "line_no", context.alias("context"))
-    places = seen.select("doc_id", "line_no", F.explode(F.regexp_extract_all("context", F.lit(f"(?=(.{_WRONG_CLASS}.))"), F.lit(1))).alias("wrong"))
-    tri = counts.where(F.length("key") == 3).where(F.substring("key", 2, 1).rlike("\\p{IsHan}"))
-    a, b, c = (F.substring("key", k, 1) for k in (1, 2, 3))
-    any_char = F.lit("")
-    tri = tri.withColumn("k", F.explode(F.array(F.col("key"), F.concat(a, b, any_char), F.concat(any_char, b, c)))).groupBy("k").agg(F.sum("n").alias("n"))
-    alternatives = reduce(lambda acc, item: F.when(F.substring("wrong", 2, 1) == item[0], F.array(*[F.lit(r) for r in item[1]])).otherwise(acc), _WRONG.items(), F.array().cast("array<string>"))
-    forms = places.select("wrong").distinct().withColumn("y", F.explode(alternatives))
-    l, x, r = (F.substring("wrong", k, 1) for k in (1, 2, 3))
-    roles = F.array(*[F.struct(F.lit(name).alias("role"), key.alias("k")) for name, key in (("x", F.col("wrong")), ("xl", F.concat(l, x, any_char)), ("xr", F.concat(any_char, x, r)), ("y", F.concat(l, F.col("y"), r)), ("yl", F.concat(l, F.col("y"), any_char)), ("yr", F.concat(any_char, F.col("y"), r)))])
+    places = seen.select("doc_id", "line_no", F.explode(F.regexp_extract_all("context", F.lit(f"(?=(.{_GLYPH}.))"), F.lit(1))).alias("wrong"))
+    tri = counts.where(F.col("key").rlike(r"^.[\p{IsHan}]{1,2}.$") & F.col("key").rlike(f"^.(?:{_GLYPH}|[{''.join(HAN_SPLITS)}]).$"))
+    # the sides alone: the glyph with its left, and with its right neighbour
+    core = lambda c: F.expr(f"substring({c}, 2, length({c}) - 2)")
+    l, x, r = F.substring("key", 1, 1), core("key"), F.expr("right(key, 1)")
+    side = lambda kind, c: F.concat(F.lit(kind), c)
+    tri = tri.withColumn("k", F.explode(F.array(side("b", F.col("key")), side("l", F.concat(l, x)), side("r", F.concat(x, r))))).groupBy("k").agg(F.sum("n").alias("n"))
+    groups = {g: [o for o in group if o != g] for group in _GROUPS for g in group} | {split: [g] for g, split in HAN_SPLITS.items()}
+    others = F.create_map(*[x for g, found in groups.items() for x in (F.lit(g), F.array(*[F.lit(o) for o in found]))])
+    forms = places.select("wrong").distinct().withColumn("y", F.explode(others[core("wrong")]))
+    l, x, r = F.substring("wrong", 1, 1), core("wrong"), F.expr("right(wrong, 1)")
+    roles = F.array(*[F.struct(F.lit(name).alias("role"), key.alias("k")) for name, key in (("x", side("b", F.col("wrong"))), ("xl", side("l", F.concat(l, x))), ("xr", side("r", F.concat(x, r))), ("y", side("b", F.concat(l, F.col("y"), r))), ("yl", side("l", F.concat(l, F.col("y")))), ("yr", side("r", F.concat(F.col("y"), r))))])
     looked = forms.select("wrong", "y", F.explode(roles).alias("q")).select("wrong", "y", "q.role", "q.k").join(tri, "k", "left")
     n = {name: F.coalesce(F.max(F.when(F.col("role") == name, F.col("n"))), F.lit(0)).alias(f"n_{name}") for name in ("x", "xl", "xr", "y", "yl", "yr")}
     judged = looked.groupBy("wrong", "y").agg(*n.values())
     whole = (F.col("n_y") >= 3) & (F.col("n_x") * 20 <= F.col("n_y"))
     sides = (F.col("n_x") == 0) & (F.greatest("n_yl", "n_yr") >= 3) & (F.col("n_xl") * 20 <= F.col("n_yl")) & (F.col("n_xr") * 20 <= F.col("n_yr"))
     judged = judged.where(whole | sides).groupBy("wrong").agg(F.max_by("y", F.col("n_y") + F.col("n_yl") + F.col("n_yr")).alias("y"))
-    found = places.join(judged, "wrong").select("doc_id", "line_no", "wrong", F.concat(F.substring("wrong", 1, 1), F.col("y"), F.substring("wrong", 3, 1)).alias("right"))
-    split = seen.where(F.col("context").rlike(SPLIT_GLYPH)).select("doc_id", "line_no", F.lit("月市").alias("wrong"), F.lit("肺").alias("right"))
-    return found.union(split)
+    return places.join(judged, "wrong").select("doc_id", "line_no", "wrong", F.concat(F.substring("wrong", 1, 1), F.col("y"), F.expr("right(wrong, 1)")).alias("right"))
 
 
 def unreadable(lines: DataFrame) -> DataFrame:
@@ -231,19 +312,19 @@ def unreadable(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("is_text") & F.col("s").rlike(inside)).select("doc_id", "line_no")
 
 
-def analyse(records: DataFrame, book_titles: list[str], scanned: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def analyse(records: DataFrame, toc: DataFrame, scanned: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The classified lines of the scanned records, their cut words and their misread words."""
     scanned = F.col("collection") == SCANNED if scanned is None else scanned
     rows = records.where(F.col("content").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "content", "page_number", "chapter_title", "section_title", F.coalesce(scanned, F.lit(False)).alias("scanned")).distinct()
     counts = cut_lineage(reference_counts(rows.where("NOT scanned").select("content")))
-    lines = cut_lineage(classify_lines(rows.where("scanned").drop("scanned"), book_titles))
+    lines = cut_lineage(classify_lines(rows.where("scanned").drop("scanned"), title_forms(rows, toc)))
     cuts = cut_lineage(cut_words(lines, counts))
     return lines, cuts, misread_words(lines, cuts, counts).union(misread_han(lines, counts))
 
 
-def noise(records: DataFrame, book_titles: list[str]) -> DataFrame:
+def noise(records: DataFrame, toc: DataFrame) -> DataFrame:
     """``(doc_id, line_no, noise_kind)``, one row per line and kind."""
-    lines, cuts, wrong = analyse(records, book_titles)
+    lines, cuts, wrong = analyse(records, toc)
     kinds = [
         lines.where("is_header").select("doc_id", "line_no", F.lit("running_header").alias("noise_kind")),
         lines.where("is_page OR page_beside").select("doc_id", "line_no", F.lit("page_number").alias("noise_kind")),
@@ -257,19 +338,20 @@ def noise(records: DataFrame, book_titles: list[str]) -> DataFrame:
 def _fixed(text: Column, fix: Column) -> Column:
     """The text with one correction; of a Han character's neighbours one may stand on another line."""
     wrong, right = fix["wrong"], fix["right"]
-    left = F.replace(text, F.substring(wrong, 1, 2), F.substring(right, 1, 2))
-    rest = F.replace(text, F.substring(wrong, 2, 2), F.substring(right, 2, 2))
-    edge = (F.length(wrong) == 3) & wrong.rlike("\\p{IsHan}") & ~F.contains(text, wrong)
-    return F.when(edge & F.contains(text, F.substring(wrong, 1, 2)), left).when(edge, rest).otherwise(F.replace(text, wrong, right))
+    n, m = F.length(wrong), F.length(right)
+    left = F.replace(text, F.substring(wrong, F.lit(1), n - 1), F.substring(right, F.lit(1), m - 1))
+    rest = F.replace(text, F.substring(wrong, F.lit(2), n), F.substring(right, F.lit(2), m))
+    edge = (n >= 3) & wrong.rlike("\\p{IsHan}") & ~F.contains(text, wrong)
+    return F.when(edge & F.contains(text, F.substring(wrong, F.lit(1), n - 1)), left).when(edge, rest).otherwise(F.replace(text, wrong, right))
 
 
-def repaired_paragraphs(records: DataFrame, book_titles: list[str]) -> DataFrame:
+def repaired_paragraphs(records: DataFrame, toc: DataFrame) -> DataFrame:
     """``(doc_id, paragraph_no, text)``: readable paragraphs without headers, page numbers, cuts and misread words.
 
     A paragraph ends at a blank line, a heading or an indented line; where a header or page number stood,
     the paragraph goes on unless the text before it ended a sentence.
     """
-    lines, cuts, wrong = analyse(records, book_titles)
+    lines, cuts, wrong = analyse(records, toc)
     fixes = wrong.distinct().groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("wrong", "right"))).alias("fixes"))
     ends = cuts.where("is_cut").select("doc_id", "line_no", F.lit(True).alias("is_cut"))
     kept = lines.where("NOT is_header AND NOT is_page AND s != '' OR s = ''").join(fixes, ["doc_id", "line_no"], "left").join(ends, ["doc_id", "line_no"], "left")
@@ -284,20 +366,12 @@ def repaired_paragraphs(records: DataFrame, book_titles: list[str]) -> DataFrame
     return kept.withColumn("piece", piece).groupBy("doc_id", "paragraph_no").agg(F.btrim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "piece"))), lambda x: x["piece"]), "")).alias("text"))
 
 
-def book_titles(toc: DataFrame) -> list[str]:
-    """Distinct book titles; refuses tables with more than ``MAX_BOOKS`` of them."""
-    titles = [r[0] for r in toc.select("book_title").where("book_title IS NOT NULL").distinct().limit(MAX_BOOKS + 1).collect()]
-    if len(titles) > MAX_BOOKS:
-        raise ValueError(f"more than {MAX_BOOKS} book titles; join them by their squeezed form instead")
-    return sorted(titles)
-
-
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return noise(table(spark, folder, "search_results"), book_titles(table(spark, folder, "toc")))
+    return noise(table(spark, folder, "search_results"), table(spark, folder, "toc"))
 
 
 def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return repaired_paragraphs(table(spark, folder, "search_results"), book_titles(table(spark, folder, "toc")))
+    return repaired_paragraphs(table(spark, folder, "search_results"), table(spark, folder, "toc"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_paragraphs": p1_paragraphs}

@@ -1,4 +1,4 @@
-import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import scan_repair
 
@@ -11,8 +11,12 @@ def rows(*scans):
     return out + [(d, text, page, chapter, section, "atlas_scan", "x", 9) for d, text, page, chapter, section in scans]
 
 
+def contents(spark, *books):
+    return spark.createDataFrame([(b, None, None) for b in books], "book_title string, chapter_title string, section_title string")
+
+
 def found(spark, data, books=("气道细胞图解",)):
-    return {tuple(r) for r in scan_repair.noise(spark.createDataFrame(data, SCHEMA), list(books)).collect()}
+    return {tuple(r) for r in scan_repair.noise(spark.createDataFrame(data, SCHEMA), contents(spark, *books)).collect()}
 
 
 def test_each_kind_of_noise(spark):
@@ -42,11 +46,40 @@ def test_defined_results_of_odd_rows(spark):
 def test_paragraphs_are_continuous(spark):
     text = "　　镜下见梭形细胸\n第一章 鳞癌\n12\n与细胞。\n\nForceps sam-\npling shows\ncarcin0ma cells."
     df = spark.createDataFrame(rows(("d", text, 12, "第一章 鳞癌", None)), SCHEMA)
-    got = [r["text"] for r in scan_repair.repaired_paragraphs(df, []).orderBy("paragraph_no").collect()]
+    got = [r["text"] for r in scan_repair.repaired_paragraphs(df, contents(spark)).orderBy("paragraph_no").collect()]
     assert got == ["镜下见梭形细胞与细胞。", "Forceps sampling shows carcinoma cells."]
 
 
-def test_too_many_books_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(scan_repair, "MAX_BOOKS", 1)
-    with pytest.raises(ValueError):
-        scan_repair.book_titles(spark.createDataFrame([("a",), ("b",)], "book_title string"))
+def test_headers_of_no_title_recur_with_masked_digits(spark):
+    scans = [(f"h{k}", f"染色质{'甲乙丙丁戊'[k]}呈网状而\nAnnals of Lung Smears {2001 + k}\n{40 + k}\n核仁{'子丑寅卯辰'[k]}深染。", 40 + k, None, None) for k in range(5)]
+    once = [("o", "染色质呈网状而\nAtlas of Lung Smears\n40\n核仁深染。", 40, None, None)]
+    got = {r for r in found(spark, rows(*scans, *once)) if r[2] == "running_header"}
+    assert got == {(f"h{k}", 2, "running_header") for k in range(5)}
+    # the copies of one document do not make a header
+    copies = [(f"c{k}", "染色质呈网状而\nAnnals of Lung Smears\n40\n核仁深染。", 40, None, None) for k in range(5)]
+    assert not {r for r in found(spark, rows(*copies)) if r[2] == "running_header"}
+
+
+def test_titles_meet_lines_with_one_damage_or_a_cut_end(spark):
+    title = "第三章 淋巴瘤与过敏性肺炎"
+    lines = ["第三章 淋巴瘤与过敏性肺炎", "第三章 淋巴口与过敏性肺炎", "口三章 淋巴瘤与过敏性肺炎", "第三章 淋巴瘤与过敏性肺", "第三章 淋巴瘤与过敏性肺炎炎", "第三章 淋巴瘤与…", "第三章 口巴口与过敏性肺炎", "第三章 腺癌与过敏性肺炎图"]
+    forms = spark.createDataFrame([(t,) for t in lines], "t string").select("t", scan_repair.masked(F.col("t")).alias("form"))
+    titles = scan_repair.title_forms(spark.createDataFrame([], SCHEMA), contents(spark, title))
+    hit = scan_repair.header_lines(forms.select("form").distinct(), titles)
+    assert {r["t"] for r in forms.join(hit, "form", "left_semi").collect()} == set(lines[:6])
+
+
+def test_known_words_are_judged_by_their_neighbours(spark):
+    reference = [(f"n{k}", "The lesion in lung tissue was 47 m wide. Cells in lung tissue show a clear rim and dear friends met.", None, None, None, "atlas_text", "x", 9) for k in range(6)]
+    got = found(spark, reference + [("d", "Lesion m lung tissue, 47 m wide, show a dear rim.", None, None, None, "atlas_scan", "x", 9)])
+    assert got == {("d", 1, "misread")}
+    df = spark.createDataFrame(reference + [("d", "Lesion m lung tissue, 47 m wide, show a dear rim.", None, None, None, "atlas_scan", "x", 9)], SCHEMA)
+    wrong = {(r["wrong"], r["right"]) for r in scan_repair.analyse(df, contents(spark))[2].collect()}
+    assert wrong == {("m", "in"), ("dear", "clear")}
+
+
+def test_glyphs_that_fall_apart(spark):
+    assert found(spark, rows(("d", "支持机化性月市炎。", 3, "", ""))) == {("d", 1, "misread")}
+    df = spark.createDataFrame(rows(("d", "支持机化性月\n市炎。", 3, "", ""), ("e", "支持机化性\n月市炎。", 3, "", "")), SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in scan_repair.repaired_paragraphs(df, contents(spark)).collect()}
+    assert got["e"] == "支持机化性肺炎。"
