@@ -48,6 +48,7 @@ UNREADABLE = "□◇■�囗"
 #: Marks that a cut leaves at the end of a line.
 CUT_MARKS = "-­‐¬"
 
+_CUT_END = rf"[{CUT_MARKS}]\s*$"
 _GROUPS = HAN_CONFUSABLE.split()
 _ANY_CLASS = "[" + "".join(_GROUPS) + "".join(HAN_SPLITS) + "]"
 _GLYPH = "(?:[" + "".join(_GROUPS) + "]|" + "|".join(HAN_SPLITS.values()) + ")"
@@ -80,13 +81,18 @@ def _number(c: Column) -> Column:
 
 
 def reference_counts(texts: DataFrame) -> DataFrame:
-    """``(key, n)``: words, neighbouring words, hyphenated neighbours and Han glyphs with both neighbours, over the ``content`` of ``texts``."""
+    """``(key, n, kind, skel, skels)``: words, neighbouring words, hyphenated neighbours and Han glyphs with both neighbours, over the ``content`` of ``texts``."""
     low = F.lower(F.col("content"))
     flat = F.regexp_replace(F.col("content"), r"(?U)\s+", "")
-    rows = texts.select(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("words"), F.regexp_extract_all(low, F.lit(r"(?=\b([a-z]+-[a-z]+))"), F.lit(1)).alias("hyphenated"), F.regexp_extract_all(flat, F.lit(f"(?=(.{_ANY_CLASS}.))"), F.lit(1)).alias("glyphs"), F.regexp_extract_all(flat, F.lit(f"(?=(.(?:{'|'.join(HAN_SPLITS.values())}).))"), F.lit(1)).alias("splits"))
+    none = F.array().cast("array<string>")
+    any_split = reduce(lambda a, b: a | b, [F.contains(flat, F.lit(split)) for split in HAN_SPLITS.values()])
+    rows = texts.select(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)).alias("words"), F.when(F.contains(low, F.lit("-")), F.regexp_extract_all(low, F.lit(r"(?=\b([a-z]+-[a-z]+))"), F.lit(1))).otherwise(none).alias("hyphenated"), F.regexp_extract_all(flat, F.lit(f"(?=(.{_ANY_CLASS}.))"), F.lit(1)).alias("glyphs"), F.when(any_split, F.regexp_extract_all(flat, F.lit(f"(?=(.(?:{'|'.join(HAN_SPLITS.values())}).))"), F.lit(1))).otherwise(none).alias("splits"))
     pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
     keys = F.concat("words", F.filter(pairs, lambda p: p.isNotNull()), "hyphenated", "glyphs", "splits")
-    return rows.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    counts = rows.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    kind = F.when(F.contains("key", F.lit(" ")), "pair").when(F.col("key").rlike(r"\p{IsHan}"), "glyph").when(F.contains("key", F.lit("-")), "hyphenated").otherwise("word")
+    worded = F.col("kind").isin("word", "hyphenated")
+    return counts.withColumn("kind", kind).withColumn("skel", F.when(worded, skeleton(F.col("key")))).withColumn("skels", F.when(F.col("kind") == "word", skeletons(F.col("key"))))
 
 
 def masked(title: Column) -> Column:
@@ -142,10 +148,12 @@ def header_lines(forms: DataFrame, titles: DataFrame) -> DataFrame:
 
 def classify_lines(records: DataFrame, titles: DataFrame) -> DataFrame:
     """One row per line of the scanned records, with its kind and the running text around it."""
-    lines = records.select("doc_id", "page_number", "chapter_title", "section_title", F.posexplode(F.split("content", "\n")).alias("pos", "raw"))
+    own_titles = (("t1", masked, "chapter_title"), ("t2", masked, "section_title"), ("t3", squeezed, "chapter_title"), ("t4", squeezed, "section_title"))
+    titled = records.select("doc_id", "page_number", "content", *[f(F.coalesce(t, F.lit(""))).alias(k) for k, f, t in own_titles])
+    lines = titled.select("doc_id", "page_number", "t1", "t2", "t3", "t4", F.posexplode(F.split("content", "\n")).alias("pos", "raw"))
     s = F.btrim(F.regexp_replace(F.col("raw"), "[\\r ]", ""), F.lit(" \t　"))
     core = F.regexp_replace(s, r"^[※◆|·•◇■□\s]+|[※◆|·•\s]+$", "")
-    lines = lines.select("doc_id", "page_number", F.col("pos").alias("line_no"), F.regexp_replace("raw", "\\r", "").alias("line"), s.alias("s"), core.alias("core"), *[f(F.coalesce(t, F.lit(""))).alias(k) for k, f, t in (("t1", masked, "chapter_title"), ("t2", masked, "section_title"), ("t3", squeezed, "chapter_title"), ("t4", squeezed, "section_title"))])
+    lines = lines.select("doc_id", "page_number", F.col("pos").alias("line_no"), F.col("raw").rlike("^　").alias("indented"), s.alias("s"), core.alias("core"), "t1", "t2", "t3", "t4")
     lines = lines.withColumn("line_no", F.col("line_no") + 1)
 
     glyph = "[0-9０-９lIOo]"
@@ -191,7 +199,9 @@ def classify_lines(records: DataFrame, titles: DataFrame) -> DataFrame:
     text = (F.col("s") != "") & ~F.col("is_heading") & ~F.col("is_header") & ~F.col("is_number")
     lines = lines.withColumn("is_text", text)
     lines = lines.withColumn("before", F.last(F.when(F.col("is_text"), F.col("s")), True).over(behind)).withColumn("after", F.first(F.when(F.col("is_text"), F.struct("line_no", "s")), True).over(ahead))
-    return lines.select("doc_id", "line_no", "line", "s", "is_header", "is_page", "page_beside", "is_heading", "is_number", "is_text", "before", "after")
+    # of the text before only the last character is needed, of the text behind the first, or all of it behind a cut word
+    next_text = F.when(F.col("s").rlike(_CUT_END), F.col("after.s")).otherwise(F.left("after.s", F.lit(1)))
+    return lines.select("doc_id", "line_no", "indented", "s", "is_header", "is_page", "page_beside", "is_heading", "is_number", "is_text", F.right("before", F.lit(1)).alias("text_before"), F.col("after.line_no").alias("next_no"), next_text.alias("next_text"))
 
 
 _LEFT = rf"([\p{{L}}\p{{M}}\p{{N}}-]*\p{{L}})[{CUT_MARKS}]\s*$"
@@ -200,11 +210,11 @@ _RIGHT = r"^([\p{L}][\p{L}\p{M}\p{N}-]*)"
 
 def cut_words(lines: DataFrame, counts: DataFrame) -> DataFrame:
     """Lines that end in a cut mark: the parts, the joined word and whether the mark was put there for the cut."""
-    ends = lines.where("is_text").select("doc_id", "line_no", F.regexp_extract("s", _LEFT, 1).alias("whole_left"), F.col("after.line_no").alias("next_no"), F.regexp_extract(F.coalesce("after.s", F.lit("")), _RIGHT, 1).alias("whole_right"), F.regexp_extract("s", rf"([{CUT_MARKS}])\s*$", 1).alias("mark"), F.coalesce("after.s", F.lit("")).alias("next_line"))
+    ends = lines.where(F.col("is_text") & F.col("s").rlike(_CUT_END)).select("doc_id", "line_no", F.regexp_extract("s", _LEFT, 1).alias("whole_left"), "next_no", F.regexp_extract(F.coalesce("next_text", F.lit("")), _RIGHT, 1).alias("whole_right"), F.regexp_extract("s", rf"([{CUT_MARKS}])\s*$", 1).alias("mark"), F.coalesce("next_text", F.lit("")).alias("next_line"))
     ends = ends.where("whole_left != '' AND mark != ''")
     ends = ends.withColumn("left", F.element_at(F.split("whole_left", "-"), -1)).withColumn("right", F.element_at(F.split("whole_right", "-"), 1))
     ends = ends.withColumn("joined", F.lower(F.concat("left", "right"))).withColumn("compound", F.lower(F.concat_ws("-", "left", "right")))
-    by_skeleton = counts.where(F.col("key").rlike("^[a-z0-9][^ ]*$")).groupBy(skeleton(F.col("key")).alias("skel")).agg(F.max(F.struct("n", "key")).alias("best"))
+    by_skeleton = counts.where("kind IN ('word', 'hyphenated')").groupBy("skel").agg(F.max(F.struct("n", "key")).alias("best"))
     keys = ends.select("joined", "compound").distinct()
     looked = (
         keys.withColumn("skel", skeleton(F.col("joined"))).join(by_skeleton.select("skel", F.col("best.n").alias("n_joined"), F.col("best.key").alias("best_joined")), "skel", "left").drop("skel")
@@ -219,8 +229,8 @@ def cut_words(lines: DataFrame, counts: DataFrame) -> DataFrame:
 
 def misread_words(lines: DataFrame, cuts: DataFrame, counts: DataFrame) -> DataFrame:
     """``(doc_id, line_no, wrong, right)`` of misread Latin words of running text."""
-    known = counts.where(F.col("key").rlike("^[a-z0-9][^ -]*$"))
-    best = known.select("key", "n", F.explode(skeletons(F.col("key"))).alias("skel")).groupBy("skel").agg(F.max(F.struct("n", "key")).alias("best"))
+    known = counts.where("kind = 'word'").select("key", "n", "skels")
+    best = known.select("key", "n", F.explode("skels").alias("skel")).groupBy("skel").agg(F.max(F.struct("n", "key")).alias("best"))
     starts = cuts.where("is_cut").select("doc_id", F.col("next_no").alias("line_no"), "whole_right").where("line_no IS NOT NULL")
     ends = cuts.where("is_cut").select("doc_id", "line_no", "whole_left")
     text = lines.where("is_text").select("doc_id", "line_no", "s").join(starts, ["doc_id", "line_no"], "left").join(ends, ["doc_id", "line_no"], "left")
@@ -237,7 +247,7 @@ def misread_words(lines: DataFrame, cuts: DataFrame, counts: DataFrame) -> DataF
     forms = words.select("wrong").union(cut).distinct().withColumn("key", F.lower("wrong"))
     # a capital I inside a lower-case word is a misread l, whatever the vocabulary says of the lower-cased word
     odd_case = F.col("wrong").rlike("[a-z]I([a-z]|$)")
-    owned = forms.join(known.withColumnRenamed("n", "n_own"), "key", "left")
+    owned = forms.join(known.select("key", F.col("n").alias("n_own")), "key", "left")
     judged = owned.withColumn("skel", F.explode(skeletons(F.col("wrong")))).join(best, "skel")
     own = F.when(odd_case, 0).otherwise(F.coalesce("n_own", F.lit(0)))
     judged = cut_lineage(judged.where((F.col("best.n") >= 3) & (own * 50 <= F.col("best.n")) & ((F.col("best.key") != F.col("key")) | odd_case)).groupBy("wrong").agg(F.max(F.struct("best.n", "best.key")).alias("best")).select("wrong", F.col("best.key").alias("right")))
@@ -262,7 +272,7 @@ def chosen_by_neighbours(words: DataFrame, owned: DataFrame, judged: DataFrame,
     A form that is misread anyway (``judged``) is replaced by the supported form, or else by the most frequent one. Another known
     form counts as misread only if the reference texts never have it beside either neighbour, but the other form beside each.
     """
-    forms = known.where("n >= 3").select(F.col("key").alias("y"), F.col("n").alias("n_y"), F.explode(skeletons(F.col("key"))).alias("skel"))
+    forms = known.where("n >= 3").select(F.col("key").alias("y"), F.col("n").alias("n_y"), F.explode("skels").alias("skel"))
     rivals = owned.where(F.col("n_own").isNotNull()).select("wrong", "key", F.explode(skeletons(F.col("wrong"))).alias("skel")).join(forms, "skel").where("y != key").select("wrong", "y", "n_y")
     usual = judged.select("wrong", F.col("right").alias("usual"))
     pool = usual.join(owned.select("wrong", F.explode(skeletons(F.col("wrong"))).alias("skel")), "wrong").join(forms, "skel").where("y != lower(wrong)").select("wrong", "y", "n_y")
@@ -271,7 +281,7 @@ def chosen_by_neighbours(words: DataFrame, owned: DataFrame, judged: DataFrame,
     asked = words.select("before", "wrong", "after").join(pool, "wrong").distinct()
     low = F.lower("wrong")
     roles = F.array(*[F.struct(F.lit(name).alias("role"), F.concat_ws(" ", a, b).alias("key")) for name, a, b in (("bx", F.col("before"), low), ("xa", low, F.col("after")), ("by", F.col("before"), F.col("y")), ("ya", F.col("y"), F.col("after")))])
-    pairs = counts.where(F.contains("key", F.lit(" ")))
+    pairs = counts.where("kind = 'pair'").select("key", "n")
     looked = asked.select("before", "wrong", "after", "y", "n_y", F.explode(roles).alias("q")).select("before", "wrong", "after", "y", "n_y", "q.role", "q.key").join(pairs, "key", "left")
     n = {role: F.coalesce(F.max(F.when(F.col("role") == role, F.col("n"))), F.lit(0)) for role in ("bx", "xa", "by", "ya")}
     seen = looked.groupBy("before", "wrong", "after", "y", "n_y").agg(*[c.alias(role) for role, c in n.items()]).join(usual, "wrong", "left")
@@ -284,10 +294,10 @@ def chosen_by_neighbours(words: DataFrame, owned: DataFrame, judged: DataFrame,
 def misread_han(lines: DataFrame, counts: DataFrame) -> DataFrame:
     """``(doc_id, line_no, wrong, right)``: a Han character between its neighbours, as it is and as it should be."""
     flat = F.regexp_replace("s", r"(?U)\s+", "")
-    context = F.concat(F.coalesce(F.expr("right(regexp_replace(before, '\\\\s+', ''), 1)"), F.lit("^")), flat, F.coalesce(F.expr("left(after.s, 1)"), F.lit("$")))
+    context = F.concat(F.coalesce("text_before", F.lit("^")), flat, F.coalesce(F.left("next_text", F.lit(1)), F.lit("$")))
     seen = lines.where("is_text").select("doc_id", "line_no", context.alias("context"))
     places = seen.select("doc_id", "line_no", F.explode(F.regexp_extract_all("context", F.lit(f"(?=(.{_GLYPH}.))"), F.lit(1))).alias("wrong"))
-    tri = counts.where(F.col("key").rlike(r"^.[\p{IsHan}]{1,2}.$") & F.col("key").rlike(f"^.(?:{_GLYPH}|[{''.join(HAN_SPLITS)}]).$"))
+    tri = counts.where((F.col("kind") == "glyph") & F.col("key").rlike(f"^.(?:{_GLYPH}|[{''.join(HAN_SPLITS)}]).$"))
     # the sides alone: the glyph with its left, and with its right neighbour
     core = lambda c: F.expr(f"substring({c}, 2, length({c}) - 2)")
     l, x, r = F.substring("key", 1, 1), core("key"), F.expr("right(key, 1)")
@@ -359,7 +369,7 @@ def repaired_paragraphs(records: DataFrame, toc: DataFrame) -> DataFrame:
     kept = kept.withColumn("fixed", F.when(F.col("is_cut"), F.regexp_replace(plain, rf"[{CUT_MARKS}]\s*$", "")).otherwise(plain))
     order = Window.partitionBy("doc_id").orderBy("line_no")
     kept = kept.withColumn("was_blank", F.lag(F.col("s") == "").over(order)).withColumn("was_heading", F.lag("is_heading").over(order))
-    opens = F.col("was_blank") | F.col("was_heading") | F.col("is_heading") | F.col("line").rlike("^　")
+    opens = F.col("was_blank") | F.col("was_heading") | F.col("is_heading") | F.col("indented")
     kept = kept.withColumn("paragraph_no", F.sum(F.coalesce(opens.cast("int"), F.lit(0))).over(order)).where("s != ''")
     latin = F.col("fixed").rlike(r"[\p{L}\p{N}.,;:!?)”\"]$") & ~F.col("fixed").rlike(r"\p{IsHan}$")
     piece = F.when(F.col("is_cut"), F.col("fixed")).when(latin, F.concat("fixed", F.lit(" "))).otherwise(F.col("fixed"))
