@@ -14,8 +14,11 @@ stack. What is quoted or bracketed stays with its sentence.
 * Thai: a space between two Thai words ends a unit.
 
 The dictionary is counted with Spark over all texts: up to four characters after and two before sentence
-ends and clause commas, and tokens before full stops. Only entries seen ``MIN_COUNT`` times come to the tasks;
-if there are more than ``MAX_ENTRIES`` of them the most frequent are kept, rarer words count as unknown.
+ends and clause commas, and tokens before full stops; entries seen less than ``MIN_COUNT`` times count as unknown words. It stays a
+distributed table. A first walk lists what each text would ask of it: the gaps that their marks leave open, each with the ``LEFT`` and
+``RIGHT`` characters beside it, and the tokens before full stops. The distinct gaps meet the dictionary's words in an equi-join, are
+classified, and go back to their texts for the walk that cuts them. A report of a quotation is looked for in the ``REPORT`` characters
+behind it, a token before a full stop in the ``TOKEN`` characters before it.
 
 Edge cases: null contents give no unit, nor do empty ones and those of white space; a quotation or bracket that is
 never closed in its block is taken as an ordinary character; repeated rows count once; other columns are
@@ -32,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.session import cut_lineage
 from quillspark.sources.tables import table
 
 MIN_COUNT = 5
-MAX_ENTRIES = 200_000
+#: What a gap is classified by, how far behind a quotation its report begins, and how long a token before a full stop is.
+LEFT, RIGHT, REPORT, TOKEN = 2, 8, 60, 24
 #: Lines of at least this length without any end mark are a unit of their own.
 LONG_RUN = 150
 
@@ -88,13 +93,40 @@ class Lexicon:
 
     def is_gap(self, left: str, right: str) -> bool:
         """Whether a sentence ends between ``left`` and ``right``."""
-        word = self.first_word(right[:8])
+        word = self.first_word(right[:RIGHT])
         opens, inner = self.openers.get(word, (0, 0))
         score = log((opens + 0.5) / (inner + 0.5))
         closes, pauses = next((self.finals[w] for w in (left[-2:], left[-1:]) if w in self.finals), (0, 0))
         return score + 0.5 * log((closes + 1) / (pauses + 1)) > 0 and opens > 0
 
 
+class Asked:
+    """Notes what a text asks of the dictionary; every gap gets the same ``answer``."""
+
+    def __init__(self, answer: bool):
+        self.answer, self.gaps, self.stops = answer, set(), set()
+        self.abbreviations = self
+
+    def is_gap(self, left: str, right: str) -> bool:
+        self.gaps.add((left, right))
+        return self.answer
+
+    def __contains__(self, token: str) -> bool:
+        self.stops.add(token)
+        return False
+
+
+class Decided:
+    """The dictionary's answers for one text."""
+
+    def __init__(self, answers: list[str]):
+        self.gaps = {x[1:] for x in answers if x[0] == "g"}
+        self.abbreviations = {x[1:] for x in answers if x[0] == "s"}
+
+    def is_gap(self, left: str, right: str) -> bool:
+        return left + "\x00" + right in self.gaps
+
+
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
     """``(start, end, whole)`` of the blocks; a whole block is one unit."""
     pos, start, last = 0, None, ""
@@ -133,12 +165,12 @@ def _full_stop_ends(text: str, i: int, j: int, end: int, begin: int, lexicon: Le
     if not nxt:
         return True
     if j - i > 1:
-        return nxt.isupper() or bool(_SPACELESS.match(nxt) and lexicon.is_gap(text[max(begin, i - 2) : i], text[k : k + 8]))
+        return nxt.isupper() or bool(_SPACELESS.match(nxt) and lexicon.is_gap(text[max(begin, i - LEFT) : i], text[k : k + RIGHT]))
     if _SPACELESS.match(before):
         return nxt not in "，,、；;：:"
     if before in "”」』）)%％":
         return not ((nxt.islower() and not _NAME.match(text, k)) or nxt in "，,、；;：:")
-    token = _TOKEN.search(text, max(begin, i - 24), i)
+    token = _TOKEN.search(text, max(begin, i - TOKEN), i)
     word = token.group() if token else ""
     if before.isdigit() and after.isdigit():
         return False
@@ -156,7 +188,7 @@ def _full_stop_ends(text: str, i: int, j: int, end: int, begin: int, lexicon: Le
     if len(word) == 1 and word.isalpha():
         return False
     if word.isdigit() and len(word) <= 2:
-        previous = re.search(r"([^\W\d_]+)\s+$", text[max(begin, i - 24) : i - len(word)])
+        previous = re.search(r"([^\W\d_]+)\s+$", text[max(begin, i - TOKEN) : i - len(word)])
         if previous and previous.group(1).lower() in BEFORE_ORDINAL:
             return False
     return True
@@ -184,7 +216,7 @@ def _walk(text: str, begin: int, end: int, lexicon: Lexicon) -> Iterator[int]:
                 k = j
                 while k < end and text[k].isspace():
                     k += 1
-                ends = k >= end or text[k].isupper() or bool(_SPACELESS.match(text[k]) and lexicon.is_gap(text[max(begin, i - 2) : i], text[k : k + 8]))
+                ends = k >= end or text[k].isupper() or bool(_SPACELESS.match(text[k]) and lexicon.is_gap(text[max(begin, i - LEFT) : i], text[k : k + RIGHT]))
             elif run[-1] in "!?":
                 k = j
                 while k < end and text[k].isspace():
@@ -218,10 +250,10 @@ def _walk(text: str, begin: int, end: int, lexicon: Lexicon) -> Iterator[int]:
             elif not _SPACELESS.match(nxt):
                 ends = not nxt.islower() or bool(_NAME.match(text, k))
             elif at == unit:
-                clause = re.split("[。！？!?]", text[k : k + 60], maxsplit=1)[0]
+                clause = re.split("[。！？!?]", text[k : k + REPORT], maxsplit=1)[0]
                 ends = not REPORTED.search(clause)
             else:
-                ends = lexicon.is_gap(text[max(begin, at - 2) : at], text[k : k + 8])
+                ends = lexicon.is_gap(text[max(begin, at - LEFT) : at], text[k : k + RIGHT])
             if ends:
                 cut = j
         elif mark in _PAIRS:
@@ -294,32 +326,79 @@ def gap_counts(texts: DataFrame) -> DataFrame:
     return counted.withColumn("k", F.explode(lengths)).select("side", "ending", cut.alias("word"), "n").groupBy("side", "word").agg(F.sum(F.when(F.col("ending"), F.col("n")).otherwise(0)).alias("at_end"), F.sum(F.when(F.col("ending"), 0).otherwise(F.col("n"))).alias("inside"))
 
 
-def learn_lexicon(texts: DataFrame) -> Lexicon:
-    counts = gap_counts(texts).where(F.col("at_end") + F.col("inside") >= MIN_COUNT)
-    rows = counts.orderBy((F.col("at_end") + F.col("inside")).desc(), "side", "word").limit(MAX_ENTRIES).collect()
-    pick = {side: {r["word"]: (r["at_end"], r["inside"]) for r in rows if r["side"] == side} for side in ("open", "final", "stop")}
-    learned = frozenset(w.lower() for w, (a, b) in pick["stop"].items() if b >= 20 * (a + 1))
-    return Lexicon(pick["open"], pick["final"], learned)
+def learned_abbreviations(counts: DataFrame) -> DataFrame:
+    """``key``: tokens whose full stop is mostly followed by a small letter or a digit."""
+    return counts.where("side = 'stop' AND at_end + inside >= %d AND inside >= 20 * (at_end + 1)" % MIN_COUNT).select(F.lower("word").alias("key")).distinct()
+
+
+def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(text_id, kind, key)``: gaps (``g``) and tokens (``s``) that a text asks for, whatever the answers are."""
+    for batch in batches:
+        ids, kinds, keys = [], [], []
+        for r, text in enumerate(batch.column(1).to_pylist()):
+            gaps, stops = set(), set()
+            for answer in (False, True):
+                notes = Asked(answer)
+                units(text, notes)
+                gaps |= notes.gaps
+                stops |= notes.stops
+            for kind, found in (("g", [a + "\x00" + b for a, b in gaps]), ("s", stops)):
+                ids += [r] * len(found)
+                kinds += [kind] * len(found)
+                keys += found
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(kinds, pa.string()), pa.array(keys, pa.string())], ["text_id", "kind", "key"])
+
+
+def decided_gaps(gaps: DataFrame, counts: DataFrame) -> DataFrame:
+    """The ``key`` of the distinct gaps (text left, a zero, text right) that end a sentence.
+
+    Every word that the lattice could use, at most four characters at each of ``RIGHT`` places, is looked up by an equi-join.
+    """
+    left, right = F.split_part("key", F.lit("\x00"), F.lit(1)), F.split_part("key", F.lit("\x00"), F.lit(2))
+    starts = F.sequence(F.lit(1), F.length(right))
+    openers = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length(right) - i + 1)), lambda n: F.struct(F.lit("open").alias("side"), F.substring(right, i, n).alias("word")))))
+    finals = F.array(*[F.struct(F.lit("final").alias("side"), F.substring(left, -n, F.lit(n)).alias("word")) for n in (1, 2)])
+    wanted = gaps.select("key", F.explode(F.array_distinct(F.concat(F.when(F.length(right) > 0, openers).otherwise(F.array().cast("array<struct<side:string,word:string>>")), finals))).alias("x")).select("key", "x.side", "x.word")
+    known = counts.where(F.col("at_end") + F.col("inside") >= MIN_COUNT)
+    total = known.where("side = 'open'").agg(F.coalesce(F.sum(F.col("at_end") + F.col("inside")), F.lit(0)).alias("n")).first()["n"]
+    entries = wanted.join(known, ["side", "word"]).groupBy("key").agg(F.collect_list(F.struct("side", "word", "at_end", "inside")).alias("entries"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for r, (key, found) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                pick = {side: {e["word"]: (e["at_end"], e["inside"]) for e in found if e["side"] == side} for side in ("open", "final")}
+                lexicon = Lexicon(pick["open"], pick["final"], frozenset())
+                lexicon.total = total or 1
+                if lexicon.is_gap(*key.split("\x00")):
+                    keep.append(r)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64()))], ["key"])
+
+    # gaps without any known word right of them are none
+    return entries.mapInArrow(run, "key string")
 
 
-def sentence_units(records: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+def sentence_units(records: DataFrame) -> DataFrame:
     """``(doc_id, start_char, end_char)`` of the units of the distinct records' contents."""
     rows = records.where(F.col("content").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "content").distinct()
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(lexicon or learn_lexicon(rows))
+    counts = cut_lineage(gap_counts(rows))
+    asked = cut_lineage(rows.select(F.xxhash64("content").alias("text_id"), "content").mapInArrow(_questions, "text_id long, kind string, key string").distinct())
+    gaps = decided_gaps(asked.where("kind = 'g'").select("key").distinct(), counts)
+    yes = gaps.select(F.lit("g").alias("kind"), "key").unionByName(learned_abbreviations(counts).select(F.lit("s").alias("kind"), "key"))
+    answers = asked.join(yes, ["kind", "key"], "left_semi").groupBy("text_id").agg(F.collect_list(F.concat("kind", "key")).alias("answers"))
+    texts = rows.withColumn("text_id", F.xxhash64("content")).join(answers, "text_id", "left").select("doc_id", "content", "answers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             take, starts, ends = [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                for a, b in units(text, known):
+            for r, (text, known) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for a, b in units(text, Decided(known or [])):
                     take.append(r)
                     starts.append(a)
                     ends.append(b)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start_char", "end_char"])
 
-    return rows.mapInArrow(run, "doc_id string, start_char int, end_char int")
+    return texts.mapInArrow(run, "doc_id string, start_char int, end_char int")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillspark.llm import sentences as se
 
@@ -71,4 +72,18 @@ def test_table_results(spark):
 
 def test_abbreviations_are_learned(spark):
     df = spark.createDataFrame([("a", "The abc. next one was xyz. " * 60)], "doc_id string, content string")
-    assert "abc" in se.learn_lexicon(df).abbreviations
+    assert "abc" in {r["key"] for r in se.learned_abbreviations(se.gap_counts(df)).collect()}
+    got = se.sentence_units(df.union(spark.createDataFrame([("b", "An abc. 4 is new. Last.")], df.schema))).where("doc_id = 'b'").collect()
+    assert [(r["start_char"], r["end_char"]) for r in got] == [(0, 17), (18, 23)]
+
+
+def test_gaps_are_decided_like_by_the_whole_dictionary(spark):
+    """The distributed look-up gives what one dictionary in memory gives."""
+    texts = ["核仁清晰，但淡染。会诊时复查。片状……会诊等均可。“核仁清晰。”会诊后，“待查。”但可。" * 3, "甲……乙，但是。会诊。丙……但淡染，等。", "会诊。会诊，会诊。但，但。" * 9, "片状……等，会诊组……会诊。"]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "doc_id string, content string")
+    rows = se.gap_counts(df).where(F.col("at_end") + F.col("inside") >= se.MIN_COUNT).collect()
+    pick = {side: {r["word"]: (r["at_end"], r["inside"]) for r in rows if r["side"] == side} for side in ("open", "final")}
+    lexicon = se.Lexicon(pick["open"], pick["final"], frozenset())
+    want = {(str(k), a, b) for k, t in enumerate(texts) for a, b in se.units(t, lexicon)}
+    assert {tuple(r) for r in se.sentence_units(df).collect()} == want
+    assert any(lexicon.is_gap(a, b) for a, b in (("状", "会诊等均可"), ("组", "会诊。")))
