@@ -62,8 +62,3 @@ def contained_sql(text: str, lexicon: Sequence[str]) -> str:
 
 def quoted(word: str) -> str:
     return "'" + word.replace("'", "''") + "'"
-
-
-def blank(c: Column) -> Column:
-    """Null as an empty string."""
-    return F.coalesce(c, F.lit(""))

@@ -52,7 +52,7 @@ _PARAGRAPH, _CHINESE, _LATIN = re.compile(r"\n\s*\n"), re.compile("[。！？；
 
 
 def boundary_split(text: str, target: int = 500, around: int = 100, near_paragraph: int = 50, near_mark: int = 80, least: int = 20, whole: int = 800) -> list[str]:
-    """Pieces of about ``target`` characters that end at the mark nearest to it.
+    """Pieces of about ``target`` characters that end at the mark nearest to it, measured from where a mark begins.
 
     A paragraph break within ``near_paragraph`` is preferred (and rules out other marks, near or not), then a
     Chinese mark within ``near_mark``, then, without any Chinese mark in reach, a Latin one.
@@ -68,16 +68,17 @@ def boundary_split(text: str, target: int = 500, around: int = 100, near_paragra
             lo, hi = max(end - around, pos), min(end + around, len(text))
             window, goal = text[lo:hi], end - lo
             breaks = [m.start() for m in _PARAGRAPH.finditer(window)]
-            marks = [m.end() for m in _CHINESE.finditer(window)]
+            marks = [m.start() for m in _CHINESE.finditer(window)]
+            # a paragraph break is cut off, a mark stays with its sentence
             if breaks:
-                spots, reach = breaks, near_paragraph
+                spots, reach, kept = breaks, near_paragraph, 0
             elif marks:
-                spots, reach = marks, near_mark
+                spots, reach, kept = marks, near_mark, 1
             else:
-                spots, reach = [m.end() for m in _LATIN.finditer(window)], near_mark
+                spots, reach, kept = [m.start() for m in _LATIN.finditer(window)], near_mark, 1
             best = min(spots, key=lambda s: abs(s - goal), default=None)
-            if best is not None and abs(best - goal) <= reach and lo + best > pos:
-                cut = lo + best
+            if best is not None and abs(best - goal) <= reach and lo + best + kept > pos:
+                cut = lo + best + kept
         piece = text[pos:cut].strip()
         if piece and (len(piece) >= least or cut >= len(text)):
             out.append(piece)

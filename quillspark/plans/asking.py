@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import lexicons as L
 from quillspark.functions.text import any_of_sql, contained_sql, quoted
 from quillspark.operators import questions as Q
+from quillspark.operators.evaluation import with_quantiles
 from quillspark.sources.tables import table
 
 
@@ -75,16 +76,22 @@ def session_history(spark: SparkSession, folder: str) -> DataFrame:
 def session_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Visits of each user: a pause of more than 30 minutes begins a new one."""
     log = table(spark, folder, "query_log").where("user_id IS NOT NULL AND asked_at IS NOT NULL").groupBy("user_id", "query_id").agg(F.min("asked_at").alias("asked_at"))
-    w = Window.partitionBy("user_id").orderBy("asked_at", "query_id")
-    gap = F.unix_timestamp("asked_at") - F.unix_timestamp(F.lag("asked_at").over(w))
-    rows = log.withColumn("visit", F.sum(F.when(gap.isNull() | (gap > 1800), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.groupBy("user_id").agg(F.max("visit").alias("visits"), F.count("*").alias("queries"))
+    # within a day first, then each day's first question against the last one before it: a user with very many questions is no hot group
+    log = log.withColumn("day", F.to_date("asked_at"))
+    w = Window.partitionBy("user_id", "day").orderBy("asked_at", "query_id")
+    seconds = F.unix_timestamp("asked_at")
+    gaps = log.select("user_id", "day", seconds.alias("at"), (seconds - F.lag(seconds).over(w)).alias("gap"))
+    days = gaps.groupBy("user_id", "day").agg(F.count("*").alias("queries"), F.count_if(F.col("gap") > 1800).alias("pauses"), F.min("at").alias("first"), F.max("at").alias("last"))
+    pause = F.col("first") - F.lag("last").over(Window.partitionBy("user_id").orderBy("day"))
+    days = days.withColumn("opens", (pause.isNull() | (pause > 1800)).cast("int"))
+    return days.groupBy("user_id").agg(F.sum(F.col("pauses") + F.col("opens")).alias("visits"), F.sum("queries").alias("queries"))
 
 
 def model_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Per model: answers, mean, median and 95th percentile of the response time, mean confidence."""
     rows = table(spark, folder, "responses").select("query_id", "model_used", "response_time", "confidence").distinct()
-    return rows.groupBy("model_used").agg(F.count("*").alias("answers"), F.round(F.avg("response_time"), 6).alias("mean_time"), F.round(F.median("response_time"), 6).alias("median_time"), F.round(F.percentile("response_time", 0.95), 6).alias("p95_time"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    grouped = rows.groupBy("model_used").agg(F.count("*").alias("answers"), F.round(F.avg("response_time"), 6).alias("mean_time"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return with_quantiles(grouped, rows, ["model_used"], "response_time", {"median_time": 0.5, "p95_time": 0.95})
 
 
 def answer_retrieval(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,24 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table ``name`` of ``folder``; one Parquet file or a folder of them."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
-    """Distinct combinations of ``columns``.
-
-    All columns are grouping keys, so the partial aggregation stays hash based and a key that
-    holds a large part of the rows shrinks to one row per input split before the shuffle.
-    """
-    return df.select(*columns).distinct()
-
-
-def not_null(df: DataFrame, *columns: str) -> DataFrame:
-    for c in columns:
-        df = df.where(F.col(c).isNotNull())
-    return df

@@ -1,11 +1,8 @@
 """Queries over small tables made for what an earlier form left out."""
 
-import itertools
-import math
 
 import duckdb
 
-from quillspark.llm import near_duplicates
 from quillspark.plans import registry
 
 HITS = "doc_id long, content string, page_number int, chapter_title string, section_title string, collection string"
@@ -46,22 +43,3 @@ def test_expected_documents_by_related_concepts_in_any_case_and_without_hits(spa
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
     rows = con.execute(f"SELECT question_id, doc_id FROM ({registry.SQL['expected_chunk_mapping_all']}) WHERE points = 0").fetchall()
     assert sorted(rows) == sorted((q, d) for q, p in picks.items() for d, _ in p)
-
-
-def test_pairs_of_large_classes_can_be_rebuilt(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "ALL_PAIRS_COPIES", 3)
-    texts = {f"d{k}": "one text that many records hold" for k in range(6)} | {"z": "one text that many records hold!", "y": "One text that many records hold !"}
-    records = spark.createDataFrame(list(texts.items()), "doc_id string, content string")
-    classes = {}
-    for r in near_duplicates.copy_classes(records).collect():
-        classes.setdefault((r["first_id"], r["copies"]), set()).add(r["doc_id"])
-    assert {k: len(v) for k, v in classes.items()} == {("d0", 6): 6, ("y", 2): 2}
-    large = {first: members for (first, copies), members in classes.items() if copies > 3}
-    rebuilt = {tuple(sorted(p)) for a, b in near_duplicates.near_duplicate_pairs(records).collect() for p in itertools.product(large.get(a, {a}), large.get(b, {b})) if p[0] != p[1]}
-    rebuilt |= {p for members in large.values() for p in itertools.combinations(sorted(members), 2)}
-    assert rebuilt == set(itertools.combinations(sorted(texts), 2))
-
-
-def test_sketches_lose_less_than_a_millionth_at_the_threshold():
-    agree = 0.5 + 0.5 / 4
-    assert sum(math.comb(128, k) * agree**k * (1 - agree) ** (128 - k) for k in range(near_duplicates.AGREE)) < 1e-6
