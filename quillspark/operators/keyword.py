@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import any_of, token_count, tokens
-from quillspark.session import broadcast_if_small
+from quillspark.session import broadcast_if_small, cut_lineage
 
 K1, B = 1.2, 0.75
 
@@ -34,7 +34,8 @@ def field_scores(terms: DataFrame, documents: DataFrame, id_column: str, fields:
     wanted = broadcast_if_small(terms.select("term").distinct())
     each = F.array(*[F.struct(F.lit(k).alias("k"), F.size(f"tokens{k}").alias("length"), F.col(f"tokens{k}").alias("tokens")) for k in range(len(fields))])
     rows = docs.select("id", F.explode(each).alias("x")).select("id", "x.k", "x.length", F.explode("x.tokens").alias("term"))
-    postings = rows.join(wanted, "term").groupBy("k", "term", "id", "length").agg(F.count("*").alias("tf"))
+    # read twice below, for the frequencies and for the scores: the texts are cut into tokens once
+    postings = cut_lineage(rows.join(wanted, "term").groupBy("k", "term", "id", "length").agg(F.count("*").alias("tf")))
     frequency = postings.groupBy("k", "term").agg(F.count("*").alias("df"))
     n, mean = corpus["n"], F.array(*[corpus[f"mean{k}"] for k in range(len(fields))])
     weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.get(mean, F.col("k"))))
