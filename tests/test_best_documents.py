@@ -12,6 +12,7 @@ from test_whole_jobs import HITS, folder_of
 NAMES = [
     "function_score",
     "hybrid_search_v2",
+    "keyword_search_v3",
 ]
 
 
