@@ -13,6 +13,7 @@ NAMES = [
     "function_score",
     "hybrid_search_v2",
     "keyword_search_v3",
+    "should_sum",
 ]
 
 
