@@ -14,6 +14,7 @@ NAMES = [
     "hybrid_search_v2",
     "keyword_search_v3",
     "should_sum",
+    "variant_search",
 ]
 
 
