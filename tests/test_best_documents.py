@@ -15,6 +15,7 @@ NAMES = [
     "keyword_search_v3",
     "should_sum",
     "variant_search",
+    "keyword_search_v1",
 ]
 
 
