@@ -16,6 +16,7 @@ NAMES = [
     "should_sum",
     "variant_search",
     "keyword_search_v1",
+    "bm25_topk",
 ]
 
 
