@@ -17,6 +17,7 @@ NAMES = [
     "variant_search",
     "keyword_search_v1",
     "bm25_topk",
+    "distance_fusion",
 ]
 
 
