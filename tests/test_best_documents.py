@@ -18,6 +18,7 @@ NAMES = [
     "keyword_search_v1",
     "bm25_topk",
     "distance_fusion",
+    "hybrid_search_v1",
 ]
 
 
