@@ -19,6 +19,7 @@ NAMES = [
     "bm25_topk",
     "distance_fusion",
     "hybrid_search_v1",
+    "keyword_search_v2",
 ]
 
 
