@@ -20,6 +20,7 @@ NAMES = [
     "distance_fusion",
     "hybrid_search_v1",
     "keyword_search_v2",
+    "multi_field_best",
 ]
 
 
