@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import chunking as C
+from quillspark.operators import related
 from quillspark.plans.common import CHUNKS, chunks
 from quillspark.sources.tables import table
 
@@ -123,19 +124,19 @@ def missing_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def related_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Three documents of the same chapter for each: 10 for the same section, 5 times the shared share of the first 50 words.
 
-    Documents of a chapter meet through their words, so a chapter that holds a large part of all
-    documents is joined word by word and not as a square.
+    Documents of a chapter are compared in the task that holds it; three of each leave it.
     """
-    from quillspark.functions.text import words
-
-    docs = chunks(spark, folder).where("chapter_title != ''").withColumn("w", F.array_distinct(F.slice(words(F.lower("content")), 1, 50)))
-    docs = docs.select("doc_id", "chapter_title", "section_title", "w", F.size("w").alias("n"))
-    long = docs.select("doc_id", "chapter_title", "section_title", "n", F.explode("w").alias("word"))
-    a, b = long.alias("a"), long.alias("b")
-    shared = a.join(b, (F.col("a.chapter_title") == F.col("b.chapter_title")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.doc_id") != F.col("b.doc_id"))).groupBy(F.col("a.doc_id").alias("doc_id"), F.col("b.doc_id").alias("other_id"), F.col("a.n").alias("n"), (F.col("a.section_title") == F.col("b.section_title")).alias("same")).agg(F.count("*").alias("both"))
-    score = F.round(F.when(F.col("same"), 10.0).otherwise(0.0) + 5.0 * F.col("both") / F.col("n"), 6)
+    # the white space of the SQL: spaces of any script at the ends, within a text none of them and no vertical tab
+    text = F.regexp_replace(F.lower("content"), r"^\p{Zs}+|\p{Zs}+\z", "")
+    first = F.array_distinct(F.slice(F.filter(F.split(text, r"[ \t\n\f\r]+"), lambda w: w != ""), 1, 50))
+    docs = chunks(spark, folder).where("chapter_title != ''").withColumn("w", first)
+    return _three_best(related.nearest_of_chapter(docs, 3, shared_only=True))
+
+
+def _three_best(near: DataFrame) -> DataFrame:
+    score = F.round(F.when(F.col("same"), 10.0).otherwise(0.0) + 5.0 * F.col("both") / F.greatest(F.col("n"), F.lit(1)), 6)
     best = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "other_id")
-    return shared.select("doc_id", "other_id", score.alias("score")).withColumn("nth", F.row_number().over(best).cast("long")).where("nth <= 3")
+    return near.select("doc_id", "other_id", score.alias("score")).withColumn("nth", F.row_number().over(best).cast("long")).where("nth <= 3")
 
 
 def related_chunks_all(spark: SparkSession, folder: str) -> DataFrame:
