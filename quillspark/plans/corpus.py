@@ -142,21 +142,11 @@ def _three_best(near: DataFrame) -> DataFrame:
 def related_chunks_all(spark: SparkSession, folder: str) -> DataFrame:
     """Three documents of the same chapter for each, of all others: 10 for the same section, 5 times the shared share of the first 50 words, ties by id.
 
-    Words cannot make up for another section. Where a section has three others, only they are compared;
-    the few documents of smaller sections meet their whole chapter. Blank titles are titles as well.
+    Blank titles are titles as well. Documents of a chapter are compared in the task that holds it; three of each leave it.
     """
     first = F.array_distinct(F.slice(F.filter(F.split(F.lower("content"), _SPACE), lambda w: w != ""), 1, 50))
     docs = chunks(spark, folder).select("doc_id", "chapter_title", "section_title", first.alias("w"))
-    sections = docs.groupBy("chapter_title", "section_title").agg(F.countDistinct("doc_id").alias("members"))
-    sized = docs.join(sections, ["chapter_title", "section_title"])
-    other = docs.select(F.col("doc_id").alias("other_id"), "chapter_title", F.col("section_title").alias("other_section"), F.col("w").alias("other_w"))
-    near = sized.where("members > 3").join(other.withColumn("section_title", F.col("other_section")), ["chapter_title", "section_title"])
-    wide = sized.where("members <= 3").join(other, "chapter_title")
-    columns = ["doc_id", "other_id", (F.col("section_title") == F.col("other_section")).alias("same"), "w", "other_w"]
-    met = near.select(*columns).unionByName(wide.select(*columns)).where("doc_id != other_id")
-    score = F.round(F.when(F.col("same"), 10.0).otherwise(0.0) + 5.0 * F.size(F.array_intersect("w", "other_w")) / F.greatest(F.size("w"), F.lit(1)), 6)
-    best = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "other_id")
-    return met.select("doc_id", "other_id", score.alias("score")).withColumn("nth", F.row_number().over(best).cast("long")).where("nth <= 3")
+    return _three_best(related.nearest_of_chapter(docs, 3, shared_only=False))
 
 
 QUERIES = {f.__name__: f for f in (line_headings, section_bodies, chunk_fixed, chunk_stats, chunk_boundary, toc_lines, toc_sections, titles_from_toc, image_links, clean_text, figure_numbers, previews, latest_hits, late_hits, store_check, missing_vectors, related_chunks, related_chunks_all)}

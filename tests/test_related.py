@@ -10,7 +10,7 @@ from test_queries import comparable
 from test_whole_jobs import HITS, folder_of
 
 
-@pytest.mark.parametrize("name", ["related_chunks"])
+@pytest.mark.parametrize("name", ["related_chunks", "related_chunks_all"])
 def test_one_row_of_the_chapter_a_document_and_no_pairs(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(related, "OWN", 7)
     monkeypatch.setattr(related, "CELLS", 1)
