@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import best
 from quillspark.operators import evaluation as E
 from quillspark.plans.common import CHUNKS, chunks
 from quillspark.sources.tables import table
@@ -91,16 +92,11 @@ def missing_expected(spark: SparkSession, folder: str) -> DataFrame:
 def expected_chunk_mapping(spark: SparkSession, folder: str) -> DataFrame:
     """The four best documents of each question: 2 for a keyword in the content, 3 for one in a title, ties by id.
 
-    Keywords meet documents through a posting list of the distinct keywords, not question by question.
+    Documents are searched and summed up in the tasks that hold them, of which four remain for each question.
     """
-    q = table(spark, folder, "questions").select(F.col("id").alias("question_id"), F.explode("keywords").alias("word")).where("length(word) >= 2").distinct()
+    q = table(spark, folder, "questions").select(F.col("id").alias("query_id"), F.explode("keywords").alias("term")).where("length(term) >= 2")
     docs = chunks(spark, folder).select("doc_id", "content", F.concat_ws(" ", "chapter_title", "section_title").alias("titles"))
-    heads = q.select(F.substring("word", 1, 2).alias("head"), "word").distinct()
-    grams = docs.select("doc_id", "content", "titles", F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", "content", "titles"), F.lit("(?s)(?=(..))"), F.lit(1)))).alias("head"))
-    met = grams.join(heads, "head").select("doc_id", "word", (F.when(F.contains("content", F.col("word")), 2).otherwise(0) + F.when(F.contains("titles", F.col("word")), 3).otherwise(0)).alias("points")).where("points > 0")
-    scores = q.join(met, "word").groupBy("question_id", "doc_id").agg(F.sum("points").alias("points"))
-    best = Window.partitionBy("question_id").orderBy(F.col("points").desc(), "doc_id")
-    return scores.withColumn("nth", F.row_number().over(best).cast("long")).where("nth <= 4")
+    return best.most_points(q, docs, "doc_id", {"content": 2, "titles": 3}, 4).select(F.col("query_id").alias("question_id"), F.col("id").alias("doc_id"), "points", "nth")
 
 
 def _best_of_blocks(questions, met):
