@@ -102,7 +102,7 @@ def masked(title: Column) -> Column:
 
 def title_forms(records: DataFrame, toc: DataFrame) -> DataFrame:
     """``form``: titles of the records and of the books, masked and as they are (a damaged first character keeps a numeral from being masked)."""
-    names = [records.select(F.col(c).alias("title")) for c in ("chapter_title", "section_title")] + [toc.select(F.col(c).alias("title")) for c in ("book_title", "chapter_title", "section_title")]
+    names = [rows.select(F.explode(F.array(*columns)).alias("title")) for rows, columns in ((records, ("chapter_title", "section_title")), (toc, ("book_title", "chapter_title", "section_title")))]
     return reduce(DataFrame.union, names).where("title IS NOT NULL").distinct().select(F.explode(F.array_distinct(F.array(masked(F.col("title")), squeezed(F.col("title"))))).alias("form")).where("form != ''").distinct()
 
 
@@ -325,9 +325,10 @@ def unreadable(lines: DataFrame) -> DataFrame:
 def analyse(records: DataFrame, toc: DataFrame, scanned: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The classified lines of the scanned records, their cut words and their misread words."""
     scanned = F.col("collection") == SCANNED if scanned is None else scanned
-    rows = records.where(F.col("content").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "content", "page_number", "chapter_title", "section_title", F.coalesce(scanned, F.lit(False)).alias("scanned")).distinct()
+    present = records.where(F.col("content").isNotNull())
+    rows = present.select(F.col("doc_id").cast("string").alias("doc_id"), "content", "page_number", "chapter_title", "section_title", F.coalesce(scanned, F.lit(False)).alias("scanned")).distinct()
     counts = cut_lineage(reference_counts(rows.where("NOT scanned").select("content")))
-    lines = cut_lineage(classify_lines(rows.where("scanned").drop("scanned"), title_forms(rows, toc)))
+    lines = cut_lineage(classify_lines(rows.where("scanned").drop("scanned"), title_forms(present, toc)))
     cuts = cut_lineage(cut_words(lines, counts))
     return lines, cuts, misread_words(lines, cuts, counts).union(misread_han(lines, counts))
 

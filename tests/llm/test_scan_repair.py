@@ -83,3 +83,16 @@ def test_glyphs_that_fall_apart(spark):
     df = spark.createDataFrame(rows(("d", "支持机化性月\n市炎。", 3, "", ""), ("e", "支持机化性\n月市炎。", 3, "", "")), SCHEMA)
     got = {r["doc_id"]: r["text"] for r in scan_repair.repaired_paragraphs(df, contents(spark)).collect()}
     assert got["e"] == "支持机化性肺炎。"
+
+
+def test_titles_are_taken_without_the_contents(spark, monkeypatch):
+    plans, whole = [], scan_repair.title_forms
+
+    def forms(records, toc):
+        out = whole(records, toc)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(scan_repair, "title_forms", forms)
+    assert ("d", 1, "running_header") in found(spark, rows(("d", "第一章 鳞癌\n正文。", 12, "第一章 鳞癌", None)))
+    assert plans and not any("content#" in line for line in plans[0].splitlines() if "Aggregate" in line)
